@@ -19,9 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-# White space of Unicode as a Java class, and the word pattern of byte-level BPE.
-WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
+from .common import extended
+
+# The code points of Unicode's white space, and the word pattern of byte-level BPE.
+WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITE = "".join(rf"\x{{{c:X}}}" for c in WHITE_SPACE)
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     + rf"| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -106,8 +110,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col:
     Null and empty texts have no ids.  A column named ``ids_col`` is replaced.
     """
     keep = [c for c in docs.columns if c.lower() != ids_col.lower()]
-    fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    schema = fields.add(ids_col, "array<int>")
+    schema = extended(docs.select(*[F.col(f"`{c}`") for c in keep]), **{ids_col: ArrayType(IntegerType())})
 
     def run(batches):
         for columns, at, bounds, words in _batches(batches, vocabulary, keep):
@@ -129,7 +132,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids_col: str = "ids", text_co
     Null ids give an empty text, ids outside of the vocabulary give nothing, and bytes that aren't UTF-8 become U+FFFD.
     """
     keep = [c for c in encoded.columns if c.lower() != text_col.lower()]
-    schema = encoded.select(*[F.col(f"`{c}`") for c in keep]).schema.add(text_col, "string")
+    schema = extended(encoded.select(*[F.col(f"`{c}`") for c in keep]), **{text_col: StringType()})
 
     def run(batches):
         piece = pieces(vocabulary)
@@ -148,7 +151,7 @@ def digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_co
     the decoded text in UTF-8.  Nothing of the size of the texts leaves a task.
     Null and empty texts have no ids and decode to an empty text.
     """
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = extended(docs.select(F.col(id_col).alias("doc_id")), n_tokens=LongType(), ids_sha256=StringType(), decoded_sha256=StringType())
 
     def run(batches):
         piece = pieces(vocabulary)

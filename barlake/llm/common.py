@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The white space that separates words, as Java's regular expressions take it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -58,6 +59,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def extended(df: DataFrame, **more) -> StructType:
+    """The schema of ``df`` with more fields; that of ``df`` stays as it is."""
+    return StructType([*df.schema.fields, *[StructField(k, t) for k, t in more.items()]])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
