@@ -14,6 +14,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    pages = extract(table(spark, sf_dir, "pages"), text_col="__text", length_col="n_chars")
+    return pages.select("page_id", "url", F.col("__text").alias("text"), "n_chars")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -82,6 +89,7 @@ FROM placed
 
 def queries() -> dict:
     return {
+        "op1_main_text": op1_main_text,
         "op2_toxicity": op2_toxicity,
         "op7_quality": op7_quality,
         "op4_histogram_sort": op4_histogram_sort,
