@@ -54,6 +54,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95).withColumnRenamed("id", "vec_id")
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10).withColumnRenamed("id", "vec_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -92,6 +104,8 @@ def queries() -> dict:
         "op1_main_text": op1_main_text,
         "op2_toxicity": op2_toxicity,
         "op7_quality": op7_quality,
+        "op3_near_vectors": op3_near_vectors,
+        "op8_neighbours": op8_neighbours,
         "op4_histogram_sort": op4_histogram_sort,
         "op6_bpe": op6_bpe,
         "op9_mixing": op9_mixing,
