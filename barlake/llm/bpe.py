@@ -1,9 +1,9 @@
 """BPE encoding and decoding by tables of distinct words.
 
-Spark splits every text into the vocabulary's words.  Each Arrow batch then
-builds its table of distinct words, encodes each of them once, and joins the
-ids back by position with a vectorised take; decoding joins the ids with the
-vocabulary's table of pieces.  The table is per batch, not per corpus: sending
+Spark splits every text into the vocabulary's words.  Each task then keeps a
+table of distinct words, encodes each of them once, and joins the ids back by
+position with a vectorised take; decoding joins the ids with the vocabulary's
+table of pieces.  The table is per task and bounded, not per corpus: sending
 each word occurrence through a shuffle to a corpus-wide table writes several
 times the input (figures in the README), and a corpus-wide table grows with
 the input, so it can't be broadcast.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ PATTERN = (
     + rf"| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
 
+#: Words that a task's table holds before it starts anew, and rows that it reads at a time.
+TABLE_WORDS, SLICE_ROWS = 200_000, 256
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary's pieces."""
@@ -71,20 +75,35 @@ def words_of(text: Column, specials: list[str]) -> Column:
 
 
 class WordTable:
-    """The distinct words of a batch with their ids."""
-
-    def __init__(self, tokenizer, words: list[str]):
-        self.ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-        self.lengths = np.fromiter((len(x) for x in self.ids), np.int64, len(self.ids))
-
-    def decimals(self) -> list[str]:
-        return [",".join(map(str, x)) for x in self.ids]
-
-    def decoded(self, piece: list[bytes]) -> list[bytes]:
-        return [b"".join([piece[i] for i in x]) for x in self.ids]
+    """The distinct words of the texts so far with their ids; it starts anew beyond ``TABLE_WORDS`` words."""
+
+    def __init__(self, tokenizer, piece: list[bytes]):
+        self.tokenizer, self.piece = tokenizer, piece
+        self.clear()
+
+    def clear(self):
+        self.at: dict[str, int] = {}
+        self.ids: list[list[int]] = []
+        self.decimals: list[str] = []
+        self.decoded: list[bytes] = []
+
+    def positions(self, words: list[str]) -> np.ndarray:
+        """Row of the table for each of the (distinct) words; new ones are encoded."""
+        if len(self.at) > TABLE_WORDS:
+            self.clear()
+        new = [w for w in words if w not in self.at]
+        for i in range(0, len(new), 4096):
+            for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False), strict=True):
+                self.at[w] = len(self.ids)
+                ids = e.ids
+                self.ids.append(ids)
+                self.decimals.append(",".join(map(str, ids)))
+                self.decoded.append(b"".join([self.piece[i] for i in ids]))
+        return np.fromiter((self.at[w] for w in words), np.int64, len(words))
 
 
 def _tokenizer(vocabulary: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary)
@@ -93,15 +112,17 @@ def _tokenizer(vocabulary: str):
     return t
 
 
-def _batches(batches: Iterator[pa.RecordBatch], vocabulary: str, keep: list[str]):
-    """For each batch: the kept columns, the position's word number, the bounds of each text, and the table."""
-    tokenizer = _tokenizer(vocabulary)
-    for batch in batches:
-        lists = batch.column(batch.schema.names.index("__words"))
-        bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
-        at = np.asarray(coded.indices)
-        yield [batch.column(batch.schema.names.index(c)) for c in keep], at, bounds, WordTable(tokenizer, coded.dictionary.to_pylist())
+def _slices(batches: Iterator[pa.RecordBatch], vocabulary: str, keep: list[str]):
+    """For slices of at most ``SLICE_ROWS`` rows: the kept columns, each position's row of the table, the bounds of each text, and the table."""
+    words = WordTable(_tokenizer(vocabulary), pieces(vocabulary))
+    for whole in batches:
+        for start in range(0, whole.num_rows, SLICE_ROWS):
+            batch = whole.slice(start, SLICE_ROWS)
+            lists = batch.column(batch.schema.names.index("__words"))
+            bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            coded = lists.flatten().dictionary_encode()
+            at = words.positions(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+            yield [batch.column(batch.schema.names.index(c)) for c in keep], at, bounds, words
 
 
 def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -113,13 +134,11 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col:
     schema = extended(docs.select(*[F.col(f"`{c}`") for c in keep]), **{ids_col: ArrayType(IntegerType())})
 
     def run(batches):
-        for columns, at, bounds, words in _batches(batches, vocabulary, keep):
-            starts = np.concatenate([[0], np.cumsum(words.lengths)])
-            flat = np.fromiter((i for x in words.ids for i in x), np.int32, starts[-1])
-            n = words.lengths[at]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            where = np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])
-            values = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat[where], pa.int32()))
+        for columns, at, bounds, words in _slices(batches, vocabulary, keep):
+            own = [words.ids[i] for i in at.tolist()]
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))])
+            flat = np.fromiter((i for x in own for i in x), np.int32, ends[-1])
+            values = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*columns, values], names=[*keep, ids_col])
 
     words = docs.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col(text_col), special_tokens(vocabulary)).alias("__words"))
@@ -154,16 +173,13 @@ def digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_co
     schema = extended(docs.select(F.col(id_col).alias("doc_id")), n_tokens=LongType(), ids_sha256=StringType(), decoded_sha256=StringType())
 
     def run(batches):
-        piece = pieces(vocabulary)
-        for (doc_id,), at, bounds, words in _batches(batches, vocabulary, ["doc_id"]):
-            decimals, decoded = words.decimals(), words.decoded(piece)
-            total = np.concatenate([[0], np.cumsum(words.lengths[at])])
-            n = total[bounds[1:]] - total[bounds[:-1]]
-            ids, texts = [], []
+        for (doc_id,), at, bounds, words in _slices(batches, vocabulary, ["doc_id"]):
+            n, ids, texts = [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = at[a:b].tolist()
-                ids.append(hashlib.sha256(",".join([decimals[i] for i in own]).encode()).hexdigest())
-                text = b"".join([decoded[i] for i in own]).decode("utf-8", "replace")
+                n.append(sum([len(words.ids[i]) for i in own]))
+                ids.append(hashlib.sha256(",".join([words.decimals[i] for i in own]).encode()).hexdigest())
+                text = b"".join([words.decoded[i] for i in own]).decode("utf-8", "replace")
                 texts.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
