@@ -48,6 +48,12 @@ def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
@@ -107,6 +113,7 @@ def queries() -> dict:
         "op3_near_vectors": op3_near_vectors,
         "op8_neighbours": op8_neighbours,
         "op4_histogram_sort": op4_histogram_sort,
+        "op5_jaccard": op5_jaccard,
         "op6_bpe": op6_bpe,
         "op9_mixing": op9_mixing,
     }
