@@ -105,6 +105,14 @@ FROM placed
 """
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def queries() -> dict:
     return {
         "op1_main_text": op1_main_text,
@@ -116,6 +124,7 @@ def queries() -> dict:
         "op5_jaccard": op5_jaccard,
         "op6_bpe": op6_bpe,
         "op9_mixing": op9_mixing,
+        "op10_repeats": op10_repeats,
     }
 
 
