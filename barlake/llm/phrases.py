@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from .bitmap import bitmap_array, bitmap_rows, in_array, maybe_in
-from .common import stash
+from .common import extended, stash
 from .shingles import WordHashes, windows
 
 WINDOW, ANCHOR = 13, 5
@@ -99,13 +100,14 @@ def _keep(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def remove_repeats(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space).
+    """Add ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space) to every row of ``docs``.
 
     A null text has no words.  Texts with fewer words than a window stay whole.
     A window that repeats within its own document only, or only in rows with
     the same id, stays.  Null ids neither own windows nor lose words.  An empty
-    table stays empty.  Other columns are left out.  Windows of few documents
-    are told apart by 64-bit hashes.
+    table stays empty.  Columns of these names in the input are replaced, and
+    columns starting with ``__`` are reserved.  Windows of few documents and
+    texts equal in words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -212,7 +214,8 @@ def remove_repeats(
         hashes, automata = WordHashes(), Automata(phrases.value)
         for b in batches:
             n_words, n_removed, kept_text = [], [], []
-            marked = zip(b.column("id").to_pylist(), b.column("text"), b.column("windows"), b.column("keys"), strict=True)
+            column = dict(zip(b.schema.names, b.columns, strict=True))
+            marked = zip(column["__id"].to_pylist(), column["__text"], column["__windows"], column["__keys"], strict=True)
             for i, t, repeated, same_text in marked:
                 words = words_of(t.as_py())
                 n = len(words)
@@ -230,10 +233,16 @@ def remove_repeats(
                 n_words.append(n)
                 n_removed.append(int(n - keep.sum()))
                 kept_text.append(b" ".join(words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]).decode())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*[column[c] for c in passed], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.string())], names=[*passed, *added])
 
     # documents without a mark aren't exchanged: a bitmap of the marked ids tells them apart where they are read
+    added = ["n_words", "n_removed", "kept_text"]
+    passed = [c for c in docs.columns if c.lower() not in added]
+    base = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col)})
     marked_ids = bitmap_rows(marks, "id")
-    unmarked = maybe_in(texts, "id", marked_ids, inside=False).select("id", "text", F.lit(None).cast("array<long>").alias("windows"), F.lit(None).cast("array<long>").alias("keys"))
-    marked = maybe_in(texts, "id", marked_ids).join(marks, "id", "left").select("id", "text", "windows", "keys")
-    return unmarked.unionByName(marked).mapInArrow(finish, "id long, n_words long, n_removed long, kept_text string")
+    none = F.lit(None).cast("array<long>")
+    unmarked = maybe_in(base, "__id", marked_ids, inside=False).withColumns({"__windows": none, "__keys": none})
+    marked = maybe_in(base, "__id", marked_ids).join(marks.select(F.col("id").alias("__id"), F.col("windows").alias("__windows"), F.col("keys").alias("__keys")), "__id", "left")
+    columns = [F.col(f"`{c}`") for c in (*passed, "__id", "__text", "__windows", "__keys")]
+    schema = extended(docs.select(*[F.col(f"`{c}`") for c in passed]), n_words=LongType(), n_removed=LongType(), kept_text=StringType())
+    return unmarked.select(*columns).unionByName(marked.select(*columns)).mapInArrow(finish, schema)

@@ -108,8 +108,8 @@ FROM placed
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).select(
-        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     )
 
 
