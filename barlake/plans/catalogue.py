@@ -1,13 +1,18 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import bars  # noqa: F401  modules register their queries
+from .base import QUERIES, SQL
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError

@@ -1 +1 @@
-
+"""Streaming versions of the bar and indicator operators."""
