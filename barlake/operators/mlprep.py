@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +73,6 @@ def scale_quantile(df: DataFrame, column: str, *, normal: bool = False) -> DataF
     """Position among the training rows' quantiles, 0 to 1, linear between them; or the normal quantile of it."""
     points = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
     fitted = df.where(F.col(SPLIT) == "train").agg(F.percentile(F.col(column).cast("double"), points).alias("__q"))
-    import numpy as np
-    import pandas as pd
-
     row = fitted.first()
     marks = np.array(row["__q"] if row and row["__q"] else [0.0])
 
@@ -81,8 +82,6 @@ def scale_quantile(df: DataFrame, column: str, *, normal: bool = False) -> DataF
         # the mean of both directions puts repeated values in the middle of their quantiles
         p = (np.interp(x, marks, grid) - np.interp(-x, -marks[::-1], -grid[::-1])) / 2
         if normal:
-            from statistics import NormalDist
-
             inverse = NormalDist().inv_cdf
             return pd.Series([inverse(min(max(v, 1e-7), 1 - 1e-7)) if v == v else None for v in p])
         return pd.Series(p)
@@ -102,7 +101,6 @@ def scale_power(df: DataFrame, column: str, powers: Sequence[float] = tuple(i /
     x = F.col(column).cast("double")
     train = df.where(F.col(SPLIT) == "train")
     row = train.agg(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"), F.count(x).alias("n"), *[F.var_pop(yeo_johnson(x, p)).alias(f"v{i}") for i, p in enumerate(powers)]).first()
-    import math
 
     def likelihood(i):
         v = row[f"v{i}"]

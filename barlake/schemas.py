@@ -1,10 +1,13 @@
-"""Fixed schemas."""
+"""Fixed schemas.  They are built without a session, so Python workers can import them."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
-TICK_RAW = StructType.fromDDL(
-    "trade_id bigint, price string, quantity string, quote_quantity string, timestamp bigint, is_buyer_maker string, is_best_match string"
-)
-TICK = StructType.fromDDL(
-    "symbol string, timestamp timestamp_ntz, price double, quantity double, quote_quantity double, isBuyerMaker boolean, trade_id bigint"
+
+def _schema(**fields) -> StructType:
+    return StructType([StructField(n, t) for n, t in fields.items()])
+
+
+TICK_RAW = _schema(
+    trade_id=LongType(), price=StringType(), quantity=StringType(), quote_quantity=StringType(), timestamp=LongType(), is_buyer_maker=StringType(), is_best_match=StringType()
 )
+TICK = _schema(timestamp=TimestampNTZType(), price=DoubleType(), quantity=DoubleType(), quote_quantity=DoubleType(), isBuyerMaker=BooleanType(), trade_id=LongType())

@@ -23,7 +23,11 @@ def read_ticks(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Da
     from ..sources.ticks import from_events
 
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    # a path of one file is read as the only match in its folder
+    folder, _, name = path.rstrip("/").rpartition("/")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    single = not spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder).select("path").isEmpty()
+    stream = source.option("pathGlobFilter", name).parquet(folder) if single else source.parquet(path)
     return from_events(stream).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
