@@ -58,8 +58,8 @@ def _label_sql(levels: str, tie: int, name: str = "label", source: str = HOURLY)
 
 
 def _ranged(spark, sf_dir):
-    bars = finite.with_returns(hourly(spark, sf_dir), W)
-    return bars.withColumn("atr", finite.simple_atr(W, 5))
+    bars = finite.with_returns(hourly(spark, sf_dir), W())
+    return bars.withColumn("atr", finite.simple_atr(W(), 5))
 
 
 _RANGED = f"{HOURLY}, t AS (SELECT *, CASE WHEN {lag('close')} IS NOT NULL THEN greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) END AS tr FROM bars), u AS (SELECT *, {full('avg', 'tr', 5)} AS atr FROM t)"
@@ -106,7 +106,7 @@ query("describe_G5", _each(f"SELECT \"column\", count(value) AS count, {r6('avg(
 query("value_counts_G6", f"SELECT event_type, count(*) AS n, {r6('count(*) / sum(count(*)) OVER ()', 'share')} FROM events GROUP BY 1")(lambda s, d: profile.value_counts(s.read.parquet(f"{d}/events.parquet"), "event_type"))
 query("missing_G7", f"""{HOURLY}, x AS (SELECT {full('avg', 'close', 20)} AS sma_20, {lag('close')} AS close_lag_1, close FROM bars), c AS (SELECT 'sma_20' AS "column", count(*) - count(sma_20) AS missing, count(*) AS n FROM x UNION ALL SELECT 'close_lag_1', count(*) - count(close_lag_1), count(*) FROM x UNION ALL SELECT 'close', count(*) - count(close), count(*) FROM x)
   SELECT "column", missing, {r6('missing * 100.0 / n', 'percent')} FROM c WHERE missing > 0""")(
-    lambda s, d: profile.missing(hourly(s, d).withColumns({"sma_20": F.when(F.count("close").over(W.rowsBetween(-19, 0)) == 20, F.avg("close").over(W.rowsBetween(-19, 0))), "close_lag_1": F.lag("close").over(W)}).select("sma_20", "close_lag_1", "close"))
+    lambda s, d: profile.missing(hourly(s, d).withColumns({"sma_20": F.when(F.count("close").over(W().rowsBetween(-19, 0)) == 20, F.avg("close").over(W().rowsBetween(-19, 0))), "close_lag_1": F.lag("close").over(W())}).select("sma_20", "close_lag_1", "close"))
 )
 query("univariate_G8", _each(f"SELECT \"column\", {r6('avg(value)', 'mean')}, {r6('median(value)', 'median')}, {r6('stddev_samp(value)', 'std')}, {r6('skewness(value)', 'skew')}, {r6('kurtosis(value)', 'kurtosis')}, {r6('min(value)', 'min')}, {r6('max(value)', 'max')} FROM v GROUP BY 1"))(lambda s, d: profile.univariate(_orders(s, d), _COLS))
 query("histogram_G9", f"WITH x AS (SELECT CAST(o_totalprice AS DOUBLE) AS v FROM orders), e AS (SELECT min(v) AS a, max(v) AS b FROM x) SELECT CAST(least(floor((v - a) / (b - a) * 50), 49) AS INTEGER) AS bin, count(*) AS n FROM x, e GROUP BY 1")(lambda s, d: profile.histogram(_orders(s, d), "o_totalprice", 50))
@@ -117,7 +117,7 @@ _FEAT = ["open", "high", "low", "close", "volume", "close_lag_1"]
 
 
 def _feat(spark, sf_dir):
-    return hourly(spark, sf_dir).withColumn("close_lag_1", F.lag("close").over(W)).select(*_FEAT)
+    return hourly(spark, sf_dir).withColumn("close_lag_1", F.lag("close").over(W())).select(*_FEAT)
 
 
 _PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS rho FROM x" for i, a in enumerate(_FEAT) for b in _FEAT[i + 1 :])

@@ -151,7 +151,7 @@ def _short(spark, sf_dir):
     h = hourly(spark, sf_dir)
     half = (F.col("close") - F.col("open")) / (F.col("close") + F.col("open"))
     return h.select(
-        "symbol", (F.row_number().over(W) - 1).cast("long").alias("bar_id"), F.col("ts").alias("open_timestamp"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("close_timestamp"), "open", "high", "low", "close", "volume", "dollar_volume", "num_ticks",
+        "symbol", (F.row_number().over(W()) - 1).cast("long").alias("bar_id"), F.col("ts").alias("open_timestamp"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("close_timestamp"), "open", "high", "low", "close", "volume", "dollar_volume", "num_ticks",
         half.alias("trade_imbalance"), F.when(F.col("num_ticks") % 5 != 0, F.col("num_ticks") / 3.0).alias("taker_buy_sell_ratio"), (F.abs(half) + 0.1).alias("intra_bar_tick_price_volatility"), half.alias("tick_price_skewness"), (-half).alias("tick_price_kurtosis"),
         F.col("num_ticks").alias("num_directional_changes"), F.round(F.col("dollar_volume") * 100).cast("long").alias("bar_amount"),
     )

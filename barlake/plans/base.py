@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, WindowSpec
 
 from ..functions.core import rounded, series
 from ..operators.bars import time_bars
@@ -31,7 +31,10 @@ def hourly(spark: SparkSession, sf_dir: str, frequency: str = "1 hour") -> DataF
     return time_bars(ticks(spark, sf_dir), frequency).select("symbol", "ts", "open", "high", "low", "close", "volume", "dollar_volume", "num_ticks")
 
 
-W = series()
+def W() -> WindowSpec:
+    """Rows of a series in order; made when asked for, as it needs a session."""
+    return series()
+
 
 # --- SQL pieces
 

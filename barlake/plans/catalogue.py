@@ -23,6 +23,6 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars with features, aligned with the last known four-hour bar, and the label of each."""
-    fine = compute(with_returns(hourly(spark, sf_dir), W), [Feature("sma", {"n": 10}), Feature("stddev", {"n": 10}), Feature("price_ratios")])
+    fine = compute(with_returns(hourly(spark, sf_dir), W()), [Feature("sma", {"n": 10}), Feature("stddev", {"n": 10}), Feature("price_ratios")])
     coarse = analysis._coarse(spark, sf_dir)
     return rounded(fixed_percent(asof_join(fine, coarse, "ts", right_on="known"), 0.5, 0.25))

@@ -25,7 +25,7 @@ def _features(name, sql_columns, features, columns, prepare=None):
 
 
 def _with(bars):
-    return I.with_returns(bars, W)
+    return I.with_returns(bars, W())
 
 
 _features("logs_D1", ", ".join(r6(f"ln(1 + {c})", f"{c}_log") for c in ("volume", "dollar_volume")), [Feature("logs")], ["volume_log", "dollar_volume_log"])
@@ -49,17 +49,17 @@ query("cci_D17", f"""{HOURLY}, x AS (SELECT symbol, ts, (high + low + close) / 3
   SELECT symbol, ts, {r6('(tp - m) / nullif(0.015 * list_sum(list_transform(l, lambda v: abs(v - m))) / 20, 0)', 'cci_20')} FROM y""")(lambda s, d: compute(hourly(s, d), [Feature("cci")]).select(*KEY, "cci_20"))
 query("mfi_D18", f"""{HOURLY}, x AS (SELECT symbol, ts, (high + low + close) / 3.0 AS tp, volume FROM bars), y AS (SELECT *, tp - {lag('tp')} AS st FROM x),
   z AS (SELECT *, CASE WHEN st > 0 THEN tp * volume WHEN st IS NOT NULL THEN 0 END AS u, CASE WHEN st < 0 THEN tp * volume WHEN st IS NOT NULL THEN 0 END AS dn FROM y), q AS (SELECT *, {full('sum', 'u', 14)} AS a, {full('sum', 'dn', 14)} AS b FROM z)
-  SELECT symbol, ts, {r6('a / nullif(a + b, 0) * 100', 'mfi_14')} FROM q""")(lambda s, d: I.mfi(hourly(s, d), W).select(*KEY, "mfi_14"))
+  SELECT symbol, ts, {r6('a / nullif(a + b, 0) * 100', 'mfi_14')} FROM q""")(lambda s, d: I.mfi(hourly(s, d), W()).select(*KEY, "mfi_14"))
 _features("roc_D19", r6(f"(close / nullif({lag('close', 10)}, 0) - 1) * 100", "roc_10"), [Feature("roc")], ["roc_10"])
 query("stoch_D20_D21", f"""{HOURLY}, x AS (SELECT *, {full('min', 'low', 14)} AS a, {full('max', 'high', 14)} AS b FROM bars), y AS (SELECT *, (close - a) / nullif(b - a, 0) * 100 AS raw FROM x), k AS (SELECT *, {full('avg', 'raw', 3)} AS k FROM y), e AS (SELECT *, {full('avg', 'k', 3)} AS dd FROM k)
   SELECT symbol, ts, {r6('k', 'stoch_k')}, {r6('dd', 'stoch_d')}, CAST(coalesce(k < 20, false) AS INTEGER) AS is_stoch_os_20, CAST(coalesce(k > 80, false) AS INTEGER) AS is_stoch_ob_80 FROM e""")(
-    lambda s, d: I.stochastic(hourly(s, d), W).select(*KEY, "stoch_k", "stoch_d", "is_stoch_os_20", "is_stoch_ob_80")
+    lambda s, d: I.stochastic(hourly(s, d), W()).select(*KEY, "stoch_k", "stoch_d", "is_stoch_os_20", "is_stoch_ob_80")
 )
 query("ultosc_D22", f"""{HOURLY}, x AS (SELECT *, {lag('close')} AS p FROM bars), y AS (SELECT *, CASE WHEN p IS NOT NULL THEN close - least(low, p) END AS bp, CASE WHEN p IS NOT NULL THEN greatest(high, p) - least(low, p) END AS rg FROM x),
-  z AS (SELECT *, {', '.join(f"({full('sum', 'bp', n)}) / nullif({full('sum', 'rg', n)}, 0) AS a{n}" for n in (7, 14, 28))} FROM y) SELECT symbol, ts, {r6('100 * (4 * a7 + 2 * a14 + a28) / 7', 'ultosc')} FROM z""")(lambda s, d: I.ultimate(hourly(s, d), W).select(*KEY, "ultosc"))
+  z AS (SELECT *, {', '.join(f"({full('sum', 'bp', n)}) / nullif({full('sum', 'rg', n)}, 0) AS a{n}" for n in (7, 14, 28))} FROM y) SELECT symbol, ts, {r6('100 * (4 * a7 + 2 * a14 + a28) / 7', 'ultosc')} FROM z""")(lambda s, d: I.ultimate(hourly(s, d), W()).select(*KEY, "ultosc"))
 _H14, _L14 = full("max", "high", 14), full("min", "low", 14)
 _features("willr_D23", r6(f"({_H14} - close) / nullif({_H14} - {_L14}, 0) * -100", "willr_14"), [Feature("willr")], ["willr_14"])
-query("obv_D24", f"{HOURLY}, x AS (SELECT *, CASE WHEN {lag('close')} IS NULL THEN volume ELSE sign(close - {lag('close')}) * volume END AS v FROM bars) SELECT symbol, ts, {r6(f'sum(v) {BY}', 'obv')} FROM x")(lambda s, d: I.obv(hourly(s, d), W).select(*KEY, "obv"))
+query("obv_D24", f"{HOURLY}, x AS (SELECT *, CASE WHEN {lag('close')} IS NULL THEN volume ELSE sign(close - {lag('close')}) * volume END AS v FROM bars) SELECT symbol, ts, {r6(f'sum(v) {BY}', 'obv')} FROM x")(lambda s, d: I.obv(hourly(s, d), W()).select(*KEY, "obv"))
 _features("rolling_stats_D25", ", ".join(r6(full(f, "close", 20), f"close_{n}_20") for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))), [Feature("rolling", {"n": 20, "stats": ("mean", "std", "min", "max")})], ["close_mean_20", "close_std_20", "close_min_20", "close_max_20"])
 _features("rolling_skew_kurt_D25", r6(full("skewness", "close", 20), "close_skew_20") + ", " + r6(full("kurtosis", "close", 20), "close_kurt_20"), [Feature("rolling", {"n": 20, "stats": ("skew", "kurt")})], ["close_skew_20", "close_kurt_20"])
 _features("lags_D26", ", ".join(r6(lag(c, k), f"{c}_lag_{k}") for c in ("close", "volume") for k in (1, 2, 3)), [Feature("lags")], [f"{c}_lag_{k}" for c in ("close", "volume") for k in (1, 2, 3)])
@@ -68,7 +68,7 @@ _features("calendar_D36_D37", "CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts
           [Feature("calendar")], ["hour", "dayofweek", "day", "week", "month", "is_weekend", *[f"{n}_{f}" for n in ("hour", "dow", "month") for f in ("sin", "cos")]])
 query("rsi_atr_simple_D35", f"""{HOURLY}, x AS (SELECT *, close - {lag('close')} AS st, CASE WHEN {lag('close')} IS NOT NULL THEN greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) END AS tr FROM bars), y AS (SELECT *, CASE WHEN st IS NOT NULL THEN greatest(st, 0) END AS g, CASE WHEN st IS NOT NULL THEN greatest(-st, 0) END AS l FROM x),
   z AS (SELECT *, {full('avg', 'g', 14)} AS a, {full('avg', 'l', 14)} AS b, {full('avg', 'tr', 14)} AS t FROM y) SELECT symbol, ts, {r6('a / nullif(a + b, 0) * 100', 'rsi_simple_14')}, {r6('t', 'atr_simple_14')} FROM z""")(
-    lambda s, d: I.simple_rsi(I.with_returns(hourly(s, d), W), W).withColumn("atr_simple_14", I.simple_atr(W, 14)).select(*KEY, "rsi_simple_14", "atr_simple_14")
+    lambda s, d: I.simple_rsi(I.with_returns(hourly(s, d), W()), W()).withColumn("atr_simple_14", I.simple_atr(W(), 14)).select(*KEY, "rsi_simple_14", "atr_simple_14")
 )
 
 # --- recursive: one row at a time
@@ -151,7 +151,7 @@ query("candles_D38", _C + ", ".join([
     _sg("cdl_morningstar", "down2 AND lg2 AND sh1 AND top1 < bot2 AND up AND close > (open2 + close2) / 2"), _sb("cdl_eveningstar", "up2 AND lg2 AND sh1 AND bot1 > top2 AND down AND close < (open2 + close2) / 2"),
     _sg("cdl_3whitesoldiers", "up AND up1 AND up2 AND close > close1 AND close1 > close2 AND open > open1 AND open <= close1 AND open1 > open2 AND open1 <= close2 AND nu AND nu1 AND nu2"),
     _sb("cdl_3blackcrows", "down AND down1 AND down2 AND close < close1 AND close1 < close2 AND open < open1 AND open >= close1 AND open1 < open2 AND open1 >= close2 AND nl AND nl1 AND nl2"),
-]) + " FROM s")(lambda s, d: patterns.candles(hourly(s, d), W).drop("open", "high", "low", "close", "volume", "dollar_volume", "num_ticks"))
+]) + " FROM s")(lambda s, d: patterns.candles(hourly(s, d), W()).drop("open", "high", "low", "close", "volume", "dollar_volume", "num_ticks"))
 query("peaks_divergence_D39_D40")(lambda s, d: shape.divergences(hourly(s, d)).select(*KEY, "is_high_peak", "is_low_peak", "bearish_divergence", "bullish_divergence"))
 
 
@@ -182,16 +182,16 @@ query("volume_profile_b_D42", _profile_sql(50, 20, 25, False))(lambda s, d: shap
 
 query("percent_rank", f"{HOURLY} SELECT symbol, ts, {r6('percent_rank() OVER (PARTITION BY symbol ORDER BY close)', 'rank')} FROM bars")(lambda s, d: hourly(s, d).select(*KEY, F.percent_rank().over(Window.partitionBy("symbol").orderBy("close")).alias("rank")))
 query("zscore", f"{HOURLY} SELECT symbol, ts, {r6(f'(close - ({full('avg', 'close', 20)})) / nullif({full('stddev_samp', 'close', 20)}, 0)', 'z')} FROM bars")(
-    lambda s, d: hourly(s, d).select(*KEY, F.try_divide(F.col("close") - full_window(F.avg, "close", 20, W), full_window(F.stddev_samp, "close", 20, W)).alias("z"))
+    lambda s, d: hourly(s, d).select(*KEY, F.try_divide(F.col("close") - full_window(F.avg, "close", 20, W()), full_window(F.stddev_samp, "close", 20, W())).alias("z"))
 )
 query("regime_tertiles", f"{HOURLY} SELECT symbol, ts, CAST(ntile(3) OVER (PARTITION BY symbol ORDER BY volume, ts) AS INTEGER) AS state FROM bars")(lambda s, d: hourly(s, d).select(*KEY, F.ntile(3).over(Window.partitionBy("symbol").orderBy("volume", "ts")).alias("state")))
 query("bar_shape", f"{HOURLY} SELECT symbol, ts, {r6(div('close - open', 'high - low'), 'bar_bias')}, {r6(div('high - greatest(open, close)', 'high - low'), 'upper_wick')}, {r6(div('least(open, close) - low', 'high - low'), 'lower_wick')} FROM bars")(
     lambda s, d: hourly(s, d).select(*KEY, F.try_divide(F.expr("close - open"), F.expr("high - low")).alias("bar_bias"), F.try_divide(F.expr("high - greatest(open, close)"), F.expr("high - low")).alias("upper_wick"), F.try_divide(F.expr("least(open, close) - low"), F.expr("high - low")).alias("lower_wick"))
 )
 query("roll_spread", f"{HOURLY}, x AS (SELECT *, close - {lag('close')} AS dp FROM bars), y AS (SELECT *, {lag('dp')} AS dq FROM x) SELECT symbol, {r6('2 * sqrt(greatest(-covar_samp(dp, dq), 0))', 'spread')} FROM y GROUP BY 1")(
-    lambda s, d: hourly(s, d).withColumn("dp", F.col("close") - F.lag("close").over(W)).withColumn("dq", F.lag("dp").over(W)).groupBy("symbol").agg((2 * F.sqrt(F.greatest(-F.covar_samp("dp", "dq"), F.lit(0.0)))).alias("spread"))
+    lambda s, d: hourly(s, d).withColumn("dp", F.col("close") - F.lag("close").over(W())).withColumn("dq", F.lag("dp").over(W())).groupBy("symbol").agg((2 * F.sqrt(F.greatest(-F.covar_samp("dp", "dq"), F.lit(0.0)))).alias("spread"))
 )
 query("sign_streaks", f"{HOURLY}, x AS (SELECT *, sign(close - open) AS s FROM bars), c AS (SELECT *, CASE WHEN s = {lag('s')} THEN 0 ELSE 1 END AS n FROM x), y AS (SELECT *, sum(n) {BY} AS g FROM c) SELECT symbol, ts, CAST(row_number() OVER (PARTITION BY symbol, g ORDER BY ts) AS INTEGER) AS streak FROM y")(
-    lambda s, d: hourly(s, d).withColumn("s", F.signum(F.col("close") - F.col("open"))).withColumn("g", F.when(F.col("s") == F.lag("s").over(W), 0).otherwise(1)).withColumn("g", F.sum("g").over(W))
+    lambda s, d: hourly(s, d).withColumn("s", F.signum(F.col("close") - F.col("open"))).withColumn("g", F.when(F.col("s") == F.lag("s").over(W()), 0).otherwise(1)).withColumn("g", F.sum("g").over(W()))
     .select(*KEY, F.row_number().over(Window.partitionBy("symbol", "g").orderBy("ts")).alias("streak"))
 )
