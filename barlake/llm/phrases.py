@@ -25,6 +25,8 @@ groups of copies don't enter the later steps.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,32 +35,43 @@ from pyspark.sql.types import LongType, StringType
 
 from .bitmap import bitmap_array, bitmap_rows, in_array, maybe_in
 from .common import extended, stash
-from .shingles import WordHashes, windows
+from .shingles import hashed_words, run_starts, runs, slices
 
 WINDOW, ANCHOR = 13, 5
 #: Texts in which an anchor is frequent, and frequent anchors at most.
 FREQUENT, FREQUENT_ANCHORS = 50, 100_000
 #: Phrases in all automata and in one.  Others are found by the exchange.
-PHRASES, PHRASES_PER_SHARD = 60_000, 10_000
+PHRASES, PHRASES_PER_SHARD = 20_000, 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:
+    """Words of a text; null has none."""
     return (text or "").encode().split()
 
 
-def window_anchors(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """The anchor of every window."""
-    runs = windows(words, anchor)
-    span = window - anchor + 1
-    if len(runs) < span:
-        return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(runs, span).min(1)
+class Windows:
+    """The windows of all texts of a column: hash, anchor, and the bounds of each text among them."""
+
+    def __init__(self, texts: pa.Array, window: int, anchor: int):
+        words, self.words = hashed_words(texts)
+        at, self.ends = run_starts(self.words, window)
+        self.keys = text_keys(words, self.words)
+        self.hashes = runs(words, window)[at].view(np.int64)
+        span = window - anchor + 1
+        short = runs(words, anchor)
+        self.anchors = np.lib.stride_tricks.sliding_window_view(short, span).min(1)[at] if len(at) else np.zeros(0, np.uint64)
+        self.owner = np.repeat(np.arange(len(self.keys)), np.diff(self.ends))
+
+    def of(self, text: int) -> np.ndarray:
+        return self.hashes[self.ends[text] : self.ends[text + 1]]
 
 
-def text_key(words: list[bytes]) -> int:
+def text_keys(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hash of each text's words."""
     import xxhash
 
-    return int(np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64).astype(np.int64)[0])
+    found = [xxhash.xxh3_64_intdigest(words[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return np.array(found, np.uint64).view(np.int64)
 
 
 class Automata:
@@ -89,6 +102,18 @@ class Automata:
         return (np.searchsorted(at, np.array(ends)) - window + 1).tolist()
 
 
+#: The automata that this process compiled last, and for what.
+_compiled: tuple[str, Automata | None] = ("", None)
+
+
+def automata_of(name: str, phrases: list[tuple[bytes, int]]) -> Automata:
+    """The automata of ``phrases``, compiled once per process."""
+    global _compiled
+    if _compiled[0] != name:
+        _compiled = (name, Automata(phrases))
+    return _compiled[1]
+
+
 def _keep(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Words outside of all windows that start there."""
     edge = np.zeros(n + 1, np.int64)
@@ -113,18 +138,13 @@ def remove_repeats(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def anchors(batches):
-        hashes = WordHashes()
-        for b in batches:
-            found, keys = [], []
-            for t in b.column("text"):
-                words = words_of(t.as_py())
-                own = np.unique(window_anchors(hashes.of(words), window, anchor)) if len(words) >= window else ()
-                if len(own):
-                    found.append(own.view(np.int64))
-                    keys.append(np.full(len(own), text_key(words), np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["anchor", "key"]
-            )
+        for whole in batches:
+            for b in slices(whole):
+                w = Windows(b.column("text"), window, anchor)
+                # neighbours mostly share their anchor
+                new = np.ones(len(w.anchors), bool)
+                new[1:] = (w.anchors[1:] != w.anchors[:-1]) | (w.owner[1:] != w.owner[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(w.anchors[new].view(np.int64)), pa.array(w.keys[w.owner[new]])], names=["anchor", "key"])
 
     used = texts.where("id IS NOT NULL")
     spans = used.mapInArrow(anchors, "anchor long, key long").groupBy("anchor").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n"))
@@ -140,20 +160,18 @@ def remove_repeats(
         return sorted_values[at] == values
 
     def frequent_windows(batches):
-        hashes = WordHashes()
-        for b in batches:
-            out = []
-            for i, t in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                words = words_of(t.as_py())
-                if len(words) < window or not len(frequent.value):
-                    continue
-                h = hashes.of(words)
-                at = np.flatnonzero(is_in(frequent.value, window_anchors(h, window, anchor).view(np.int64)))
-                if len(at):
-                    own = windows(h, window).view(np.int64)[at].tolist()
-                    out += [(w, i, b" ".join(words[k : k + window])) for w, k in zip(own, at.tolist(), strict=True)]
-            w, i, phrase = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(i, pa.int64()), pa.array(phrase, pa.binary())], names=["window", "id", "phrase"])
+        for whole in batches:
+            for b in slices(whole):
+                w = Windows(b.column("text"), window, anchor)
+                hit = np.flatnonzero(is_in(frequent.value, w.anchors.view(np.int64)))
+                phrases, last, words = [], -1, []
+                for k, text in zip(hit.tolist(), w.owner[hit].tolist(), strict=True):
+                    if text != last:
+                        last, words = text, words_of(b.column("text")[text].as_py())
+                    start = k - int(w.ends[text])
+                    phrases.append(b" ".join(words[start : start + window]))
+                ids = b.column("id").take(pa.array(w.owner[hit]))
+                yield pa.RecordBatch.from_arrays([pa.array(w.hashes[hit]), ids, pa.array(phrases, pa.binary())], names=["window", "id", "phrase"])
 
     confirmed = (
         used.mapInArrow(frequent_windows, "window long, id long, phrase binary")
@@ -162,32 +180,27 @@ def remove_repeats(
     )
     rows = confirmed.orderBy(F.desc("n"), "window", "phrase").limit(PHRASES).select("window", "phrase", "owner").toArrow()
     phrases = spark.sparkContext.broadcast(list(zip(rows.column("phrase").to_pylist(), rows.column("owner").to_pylist(), strict=True)))
+    name = uuid.uuid4().hex
     by_automaton = spark.sparkContext.broadcast(np.unique(rows.column("window").to_numpy()))
 
     def other_windows(batches):
-        hashes, least = WordHashes(), {}
-        for b in batches:
-            found, ids = [], []
-            for i, t in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                words = words_of(t.as_py())
-                if len(words) < window:
-                    continue
-                key = text_key(words)
-                if least.get(key, i + 1) <= i:  # an equal text with a smaller id owns all windows of this one
-                    continue
+        least: dict[int, int] = {}
+        for whole in batches:
+            for b in slices(whole):
+                w = Windows(b.column("text"), window, anchor)
+                ids = np.asarray(b.column("id"))
+                first = np.ones(len(ids), bool)
                 if len(least) > 200_000:
                     least.clear()
-                least[key] = i
-                h = hashes.of(words)
-                at = np.flatnonzero(in_array(seen.value, window_anchors(h, window, anchor)))
-                if len(at):
-                    own = np.unique(windows(h, window).view(np.int64)[at])
-                    own = own[~is_in(by_automaton.value, own)]
-                    found.append(own)
-                    ids.append(np.full(len(own), i, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["window", "id"]
-            )
+                for k, (key, i) in enumerate(zip(w.keys.tolist(), ids.tolist(), strict=True)):
+                    # an equal text with a smaller id owns all windows of this one
+                    if least.get(key, i + 1) <= i:
+                        first[k] = False
+                    else:
+                        least[key] = i
+                keep = in_array(seen.value, w.anchors) & first[w.owner]
+                keep[keep] = ~is_in(by_automaton.value, w.hashes[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(w.hashes[keep]), pa.array(ids[w.owner[keep]])], names=["window", "id"])
 
     same = Window.partitionBy("window")
     repeats = (
@@ -197,9 +210,11 @@ def remove_repeats(
     )
 
     def keys(batches):
-        for b in batches:
-            found = [text_key(words) if len(words := words_of(t.as_py())) >= window else None for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.int64())], names=["id", "key"])
+        for whole in batches:
+            for b in slices(whole):
+                words, bounds = hashed_words(b.column("text"))
+                found = text_keys(words, bounds)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, mask=np.diff(bounds) < window)], names=["id", "key"])
 
     copies = stash(used.mapInArrow(keys, "id long, key long").where("key IS NOT NULL"))
     owners = copies.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
@@ -211,29 +226,35 @@ def remove_repeats(
     )
 
     def finish(batches):
-        hashes, automata = WordHashes(), Automata(phrases.value)
-        for b in batches:
-            n_words, n_removed, kept_text = [], [], []
-            column = dict(zip(b.schema.names, b.columns, strict=True))
-            marked = zip(column["__id"].to_pylist(), column["__text"], column["__windows"], column["__keys"], strict=True)
-            for i, t, repeated, same_text in marked:
-                words = words_of(t.as_py())
-                n = len(words)
-                keep = np.ones(n, bool)
-                if n >= window and i is not None:
-                    if text_key(words) in (same_text.as_py() or ()):
-                        keep[:] = False
-                    else:
-                        starts = automata.covered(words, i, window)
-                        if repeated.is_valid and len(repeated.values):
-                            own = windows(hashes.of(words), window).view(np.int64)
-                            starts += np.flatnonzero(np.isin(own, np.asarray(repeated.values))).tolist()
-                        if starts:
-                            keep = _keep(n, np.array(starts), window)
-                n_words.append(n)
-                n_removed.append(int(n - keep.sum()))
-                kept_text.append(b" ".join(words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]).decode())
-            yield pa.RecordBatch.from_arrays([*[column[c] for c in passed], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.string())], names=[*passed, *added])
+        automata = automata_of(name, phrases.value)
+        for whole in batches:
+            for b in slices(whole):
+                column = dict(zip(b.schema.names, b.columns, strict=True))
+                marks_here = (column["__windows"].is_valid().to_numpy(zero_copy_only=False) | column["__keys"].is_valid().to_numpy(zero_copy_only=False)).any()
+                w = Windows(column["__text"], window, anchor) if marks_here or automata.shards else None
+                # a text without any anchor of the phrases can't hold one: the automata needn't read it
+                with_anchor = np.zeros(b.num_rows, bool)
+                if w is not None:
+                    with_anchor[w.owner[is_in(frequent.value, w.anchors.view(np.int64))]] = True
+                n_words, n_removed, kept_text = [], [], []
+                marked = zip(column["__id"].to_pylist(), column["__text"], column["__windows"], column["__keys"], strict=True)
+                for k, (i, t, repeated, same_text) in enumerate(marked):
+                    words = words_of(t.as_py())
+                    n = len(words)
+                    keep = np.ones(n, bool)
+                    if n >= window and i is not None:
+                        if same_text.is_valid and w.keys[k] in same_text.as_py():
+                            keep[:] = False
+                        else:
+                            starts = automata.covered(words, i, window) if with_anchor[k] else []
+                            if repeated.is_valid and len(repeated.values):
+                                starts += np.flatnonzero(np.isin(w.of(k), np.asarray(repeated.values))).tolist()
+                            if starts:
+                                keep = _keep(n, np.array(starts), window)
+                    n_words.append(n)
+                    n_removed.append(int(n - keep.sum()))
+                    kept_text.append(b" ".join(words if keep.all() else [x for x, stays in zip(words, keep.tolist(), strict=True) if stays]).decode())
+                yield pa.RecordBatch.from_arrays([*[column[c] for c in passed], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.string())], names=[*passed, *added])
 
     # documents without a mark aren't exchanged: a bitmap of the marked ids tells them apart where they are read
     added = ["n_words", "n_removed", "kept_text"]

@@ -1,12 +1,14 @@
-"""Word hashes and shingle hashes that the two n-gram operators share."""
+"""Hashes of words and of runs of words, for whole Arrow columns at a time."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _MASK = (1 << 64) - 1
-#: A task's table of word hashes starts anew beyond this many words.
-TABLE_WORDS = 300_000
+#: Texts that are hashed at a time.
+SLICE_ROWS = 1000
 
 
 def _odd(seed: int) -> int:
@@ -24,44 +26,66 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered per task."""
+def slices(batch: pa.RecordBatch):
+    for i in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(i, SLICE_ROWS)
 
-    def __init__(self):
-        import xxhash
 
-        self.digest = xxhash.xxh3_64_intdigest
-        self.known: dict[bytes, int] = {}
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the bounds of each text among them.
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > TABLE_WORDS:
-            known.clear()
-        out = list(map(known.get, words))
-        if None in out:
-            for i, w in enumerate(words):
-                if out[i] is None:
-                    out[i] = known.get(w)
-                    if out[i] is None:
-                        known[w] = out[i] = self.digest(w)
-        return np.array(out, np.uint64)
+    Words are runs of anything but U+0020 and U+0009 to U+000D; null has none.
+    ``lower`` turns A-Z into lower case and leaves other letters.
+    """
+    import xxhash
 
+    texts = texts.fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat = lists.flatten()
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return digests[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.uint64), bounds
 
-def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` words; none with fewer words."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+
+def runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each position on, wherever so many follow."""
+    n = max(0, len(words) - size + 1)
     total = np.zeros(n, np.uint64)
     for i in range(size):
-        total += mixed(words[i : i + n] * np.uint64(_odd(i + 1)))
+        total += words[i : i + n] * np.uint64(_odd(i + 1))
     return mixed(total)
 
 
-def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes; with fewer words than ``size`` the whole sequence is the only one."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    if len(words) < size:
-        return windows(words, len(words)) ^ np.uint64(_odd(1000 + len(words)))
-    return np.unique(windows(words, size))
+def run_starts(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions from which ``size`` words follow in the same text, and the bounds of each text among these positions."""
+    lengths = np.diff(bounds)
+    whole = np.arange(bounds[-1]) + size <= np.repeat(bounds[1:], lengths)
+    return np.flatnonzero(whole), np.concatenate([[0], np.cumsum(np.maximum(lengths - size + 1, 0))])
+
+
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, A-Z taken in lower case.
+
+    With fewer words than ``size`` the whole sequence is the only shingle;
+    without words there is none.
+    """
+    words, bounds = hashed_words(texts, lower=True)
+    at, ends = run_starts(bounds, size)
+    found = runs(words, size)[at]
+    out = []
+    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        if b > a:
+            own = np.sort(found[a:b])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            few = words[bounds[k] : bounds[k + 1]]
+            out.append(runs(few, len(few)) ^ np.uint64(_odd(1000 + len(few))) if len(few) else np.zeros(0, np.uint64))
+    return out
+
+
+def joined(parts: list[np.ndarray]) -> pa.Array:
+    """Hashes as one Arrow column of longs."""
+    return pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
