@@ -189,6 +189,19 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return a, b
 
 
+def _element_of(run: list[Piece]) -> tuple | None:
+    """Path of the innermost article, or else the innermost main element, that holds most words of a run."""
+    words = Counter()
+    for p in run:
+        n = len(p.text.split())
+        for depth, (_, name) in enumerate(p.path, 1):
+            if name in ("article", "main"):
+                words[p.path[:depth]] += n
+    total = sum(len(p.text.split()) for p in run)
+    holds = [path for path, n in words.items() if n * 5 >= total * 3]
+    return max(holds, key=lambda path: (path[-1][1] == "article", len(path)), default=None)
+
+
 def main_text(html: str | None) -> str:
     """The main text of a whole page; empty for null, for an empty page and for one without main text.
 
@@ -216,10 +229,7 @@ def main_text(html: str | None) -> str:
                 break
             n += 1
         common = common[:n]
-    for kind in ("article", "main"):
-        if within := [n for n, (_, name) in enumerate(common) if name == kind]:
-            common = common[: within[-1] + 1]
-            break
+    common = _element_of(run) or common
     depth = len(common)
     out: list[str] = []
     skipped = False
