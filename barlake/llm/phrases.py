@@ -19,7 +19,7 @@ Recurring passages are confirmed in steps that each send little:
 4. The other windows, of passages that few documents share, find their smallest
    id by one exchange.  Automata over all of them would grow with the corpus.
 
-Texts equal in words are settled by the smallest id among them beforehand, so
+Equal texts are settled by the smallest id among them beforehand, so
 groups of copies don't enter the later steps.
 """
 
@@ -53,27 +53,18 @@ class Windows:
     """The windows of all texts of a column: hash, anchor, and the bounds of each text among them."""
 
     def __init__(self, texts: pa.Array, window: int, anchor: int):
-        words, self.words = hashed_words(texts)
-        at, self.ends = run_starts(self.words, window)
-        self.keys = text_keys(words, self.words)
+        words, bounds = hashed_words(texts)
+        at, self.ends = run_starts(bounds, window)
         self.hashes = runs(words, window)[at].view(np.int64)
         span = window - anchor + 1
         short = runs(words, anchor)
         self.anchors = np.lib.stride_tricks.sliding_window_view(short, span).min(1)[at] if len(at) else np.zeros(0, np.uint64)
-        self.owner = np.repeat(np.arange(len(self.keys)), np.diff(self.ends))
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.ends))
 
     def of(self, text: int) -> np.ndarray:
         return self.hashes[self.ends[text] : self.ends[text + 1]]
 
 
-def text_keys(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Hash of each text's words."""
-    import xxhash
-
-    found = [xxhash.xxh3_64_intdigest(words[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return np.array(found, np.uint64).view(np.int64)
-
-
 class Automata:
     """Sharded automata over phrases; each phrase gives the smallest id that has it."""
 
@@ -131,11 +122,11 @@ def remove_repeats(
     A window that repeats within its own document only, or only in rows with
     the same id, stays.  Null ids neither own windows nor lose words.  An empty
     table stays empty.  Columns of these names in the input are replaced, and
-    columns starting with ``__`` are reserved.  Windows of few documents and
-    texts equal in words are told apart by 64-bit hashes.
+    columns starting with ``__`` are reserved.  Windows of few documents, and
+    texts, are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
 
     def anchors(batches):
         for whole in batches:
@@ -144,7 +135,7 @@ def remove_repeats(
                 # neighbours mostly share their anchor
                 new = np.ones(len(w.anchors), bool)
                 new[1:] = (w.anchors[1:] != w.anchors[:-1]) | (w.owner[1:] != w.owner[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(w.anchors[new].view(np.int64)), pa.array(w.keys[w.owner[new]])], names=["anchor", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.anchors[new].view(np.int64)), b.column("key").take(pa.array(w.owner[new]))], names=["anchor", "key"])
 
     used = texts.where("id IS NOT NULL")
     spans = used.mapInArrow(anchors, "anchor long, key long").groupBy("anchor").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n"))
@@ -192,7 +183,7 @@ def remove_repeats(
                 first = np.ones(len(ids), bool)
                 if len(least) > 200_000:
                     least.clear()
-                for k, (key, i) in enumerate(zip(w.keys.tolist(), ids.tolist(), strict=True)):
+                for k, (key, i) in enumerate(zip(b.column("key").to_pylist(), ids.tolist(), strict=True)):
                     # an equal text with a smaller id owns all windows of this one
                     if least.get(key, i + 1) <= i:
                         first[k] = False
@@ -209,14 +200,7 @@ def remove_repeats(
         .groupBy("id").agg(F.collect_list("window").alias("windows"))
     )
 
-    def keys(batches):
-        for whole in batches:
-            for b in slices(whole):
-                words, bounds = hashed_words(b.column("text"))
-                found = text_keys(words, bounds)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, mask=np.diff(bounds) < window)], names=["id", "key"])
-
-    copies = stash(used.mapInArrow(keys, "id long, key long").where("key IS NOT NULL"))
+    copies = used.select("id", "key")
     owners = copies.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     copied = copies.join(owners, "key").where("id > first").select("id", "key")
     marks = stash(
@@ -237,13 +221,13 @@ def remove_repeats(
                 if w is not None:
                     with_anchor[w.owner[is_in(frequent.value, w.anchors.view(np.int64))]] = True
                 n_words, n_removed, kept_text = [], [], []
-                marked = zip(column["__id"].to_pylist(), column["__text"], column["__windows"], column["__keys"], strict=True)
-                for k, (i, t, repeated, same_text) in enumerate(marked):
+                marked = zip(column["__id"].to_pylist(), column["__text"], column["__key"].to_pylist(), column["__windows"], column["__keys"], strict=True)
+                for k, (i, t, key, repeated, same_text) in enumerate(marked):
                     words = words_of(t.as_py())
                     n = len(words)
                     keep = np.ones(n, bool)
                     if n >= window and i is not None:
-                        if same_text.is_valid and w.keys[k] in same_text.as_py():
+                        if same_text.is_valid and key in same_text.as_py():
                             keep[:] = False
                         else:
                             starts = automata.covered(words, i, window) if with_anchor[k] else []
@@ -259,11 +243,11 @@ def remove_repeats(
     # documents without a mark aren't exchanged: a bitmap of the marked ids tells them apart where they are read
     added = ["n_words", "n_removed", "kept_text"]
     passed = [c for c in docs.columns if c.lower() not in added]
-    base = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col)})
+    base = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col), "__key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     marked_ids = bitmap_rows(marks, "id")
     none = F.lit(None).cast("array<long>")
     unmarked = maybe_in(base, "__id", marked_ids, inside=False).withColumns({"__windows": none, "__keys": none})
     marked = maybe_in(base, "__id", marked_ids).join(marks.select(F.col("id").alias("__id"), F.col("windows").alias("__windows"), F.col("keys").alias("__keys")), "__id", "left")
-    columns = [F.col(f"`{c}`") for c in (*passed, "__id", "__text", "__windows", "__keys")]
+    columns = [F.col(f"`{c}`") for c in (*passed, "__id", "__text", "__key", "__windows", "__keys")]
     schema = extended(docs.select(*[F.col(f"`{c}`") for c in passed]), n_words=LongType(), n_removed=LongType(), kept_text=StringType())
     return unmarked.select(*columns).unionByName(marked.select(*columns)).mapInArrow(finish, schema)
