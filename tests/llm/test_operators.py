@@ -353,3 +353,27 @@ def test_pipeline(spark, sf_dir, tmp_path):
                 assert done.exceptAll(docs).isEmpty()
         docs = done
     assert docs.where("n_tokens != size(ids)").isEmpty() and docs.count() > 0
+
+
+def test_bitmaps_keep_what_they_must(spark):
+    from barlake.llm.bitmap import bitmap_array, bitmap_rows, in_array, maybe_in
+
+    ids = spark.range(0, 5000, 7)
+    rows = bitmap_rows(ids, "id")
+    everything = spark.range(5000).withColumn("__x", F.lit(1)).union(spark.sql("SELECT CAST(NULL AS bigint), 1"))
+    inside, outside = maybe_in(everything, "id", rows), maybe_in(everything, "id", rows, inside=False)
+    assert ids.join(inside, "id", "left_anti").isEmpty() and inside.count() + outside.count() == 5001 and outside.where("id IS NULL").count() == 1
+    assert inside.count() < 760 and inside.columns == everything.columns
+    bits = bitmap_array(ids.select((F.col("id") * -3).alias("h")), "h")
+    assert in_array(bits, np.arange(0, 5000, 7).astype(np.int64).__mul__(-3).view(np.uint64)).all()
+
+
+def test_scores_with_clashing_columns(spark, corpus):
+    from barlake.llm.quality import fit_quality, score_quality
+    from barlake.llm.toxicity import fit_toxicity, score_toxicity
+
+    path, _, rows = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({"quality_score": F.lit("old"), "toxicity": F.lit("old"), "label": F.lit(9), "text2": F.col("text")})
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    for out in (score_quality(docs, fit_quality(docs, labels)), score_toxicity(docs, fit_toxicity(docs, labels))):
+        assert sorted(out.columns) == sorted(docs.columns) and out.count() == len(rows)
