@@ -83,7 +83,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5('17:' || CAST(doc_id AS VARCHAR)) AS k,
+  SELECT doc_id, source, md5('17' || COALESCE(':' || CAST(doc_id AS VARCHAR), '')) AS k,
          CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 totals AS (SELECT source, SUM(size)::BIGINT AS total FROM sized GROUP BY source),

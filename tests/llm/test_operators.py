@@ -98,7 +98,7 @@ def test_factorization_machine_learns_an_interaction():
     rng = np.random.default_rng(5)
     texts, labels = [], []
     for _ in range(900):
-        a, b = rng.random(2) < 0.5
+        a, b = (int(v) for v in rng.random(2) < 0.5)
         texts.append(f"{'insult ' * a}{'folk ' * b}w{rng.integers(50)}")
         labels.append(int(a and b))
     m = fit([np.sort(terms_of(t)) for t in texts], np.array(labels))
