@@ -33,7 +33,7 @@ PATTERN = (
 )
 
 #: Words that a task's table holds before it starts anew, and rows that it reads at a time.
-TABLE_WORDS, SLICE_ROWS = 500_000, 1024
+TABLE_WORDS, SLICE_ROWS = 300_000, 512
 
 
 def byte_alphabet() -> dict[str, int]:

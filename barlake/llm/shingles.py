@@ -7,8 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _MASK = (1 << 64) - 1
-#: Texts that are hashed at a time.
-SLICE_ROWS = 1000
+#: Texts that are hashed at a time, and about how many bytes.
+SLICE_ROWS, SLICE_BYTES = 1000, 2_000_000
 
 
 def _odd(seed: int) -> int:
@@ -27,8 +27,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch):
-    for i in range(0, batch.num_rows, SLICE_ROWS):
-        yield batch.slice(i, SLICE_ROWS)
+    """Parts of a batch that need little memory, however long the texts."""
+    rows = max(1, min(SLICE_ROWS, int(SLICE_BYTES * batch.num_rows / max(1, batch.nbytes))))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
