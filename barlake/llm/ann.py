@@ -3,7 +3,8 @@
 Each table turns the unit vectors by fast pseudo-rotations (random signs and a
 Hadamard transform, three times) and takes the nearest signed axis as bucket;
 with many vectors a bucket is two such axes.  A query probes the buckets of its
-nearest axes in every table.  Candidates are compared by exact Euclidean
+nearest axes in every table, as many as its ``k``-th neighbour needs among that
+many evenly spread vectors (``needed_probes``).  Candidates are compared by exact Euclidean
 distance on the original vectors, in double precision.
 
 A block holds at most ``MEMBERS`` candidates and ``QUERIES`` queries of a
@@ -24,6 +25,12 @@ TABLES, PROBES = 10, 16
 MEMBERS, QUERIES = 4096, 1024
 #: Vectors above which a bucket takes two axes.
 TWO_AXES = 20_000_000
+#: Probes a table above which the copies of a query cost more than the smaller buckets of two axes save.
+PAIR_PROBES = 1024
+#: The chance of finding the ``k``-th neighbour that probes are chosen for; nearer ones have a better one.
+RECALL = 0.95
+#: Rows of a batch that leaves the hashing.
+OUT_ROWS = 32_768
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -63,10 +70,48 @@ def buckets(x: np.ndarray, table: int, probes: int, pairs: bool) -> np.ndarray:
         return axes(rotated(x, 2 * table), probes)[0]
     a, va = axes(rotated(x, 2 * table), probes)
     b, vb = axes(rotated(x, 2 * table + 1), probes)
-    sums = (va[:, :, None] + vb[:, None, :]).reshape(len(x), -1)
-    number = (a[:, :, None] * 65536 + b[:, None, :]).reshape(len(x), -1)
-    order = np.argsort(-sums, 1, kind="stable")[:, :probes]
-    return np.take_along_axis(number, order, 1)
+    # a pair of the i-th and j-th axis has i * j pairs at least as near, itself among them
+    i, j = np.nonzero(np.outer(np.arange(1, a.shape[1] + 1), np.arange(1, b.shape[1] + 1)) <= probes)
+    order = np.argsort(-(va[:, i] + vb[:, j]), 1, kind="stable")[:, :probes]
+    return np.take_along_axis(a[:, i] * 65536 + b[:, j], order, 1)
+
+
+def expected_cosine(n: int, size: int, k: int) -> float:
+    """The cosine of a vector's ``k``-th neighbour among ``n`` vectors that are spread evenly over the sphere."""
+    if size < 2 or n <= k:
+        return 1.0 if size < 2 else -1.0
+    angle = np.linspace(0, np.pi, 200_001)
+    share = np.cumsum(np.sin(angle) ** (size - 2))
+    return float(np.cos(np.interp(k / n, share / share[-1], angle)))
+
+
+def probe_ranks(cosine: float, size: int, pairs: bool, samples: int = 4000) -> np.ndarray:
+    """For random vectors and a neighbour of each at ``cosine``: how many buckets of a table are nearer to the vector than the neighbour's own."""
+    rng = np.random.default_rng(7)
+    found = []
+    for at in range(0, samples, 500):
+        x, y = unit(rng.normal(size=(500, size))), rng.normal(size=(500, size))
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine * cosine) * (unit(y) if size > 1 else 0 * x)
+        seeds = (at, at + 1)[: 1 + pairs]
+        coordinates = [rotated(x, s) for s in seeds]
+        coordinates = [np.concatenate([c, -c], 1) for c in coordinates]
+        own = [np.take_along_axis(c, axes(rotated(y, s), 1)[0], 1)[:, 0] for c, s in zip(coordinates, seeds, strict=True)]
+        if pairs:
+            second = np.sort(coordinates[1], 1)
+            least = (own[0] + own[1])[:, None] - coordinates[0]
+            found += [second.shape[1] * len(row) - np.searchsorted(b, row + 1e-12, side="right").sum() for row, b in zip(least, second, strict=True)]
+        else:
+            found += (coordinates[0] > own[0][:, None] + 1e-12).sum(1).tolist()
+    return np.array(found)
+
+
+def needed_probes(n: int, size: int, k: int, tables: int, pairs: bool) -> int:
+    """Probes a table with which the ``k``-th of ``n`` evenly spread vectors is in a probed bucket of some table with a chance of ``RECALL``."""
+    if n <= k:
+        return 1
+    one = 1 - (1 - RECALL) ** (1 / tables)
+    return int(np.quantile(probe_ranks(expected_cosine(n, size, k), size, pairs), one, method="higher")) + 1
 
 
 def best_of(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +146,8 @@ def neighbours(
 
     Vectors that are null, zero, hold null or non-finite components, or have
     another number of components than most take no part, and neither do null
-    ids.  Equal vectors are searched once; of a group of equal candidates the
+    ids.  ``probes`` is the least number; more are taken where the number of
+    vectors and their dimensions need them.  Equal vectors are searched once; of a group of equal candidates the
     ``k`` + 1 smallest ids can be among the nearest.  With fewer candidates all
     are returned.  A query isn't its own neighbour; rows that repeat an id are
     one candidate.  Other columns are left out.
@@ -118,23 +164,27 @@ def neighbours(
         rows.select("id", "v").distinct().withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).select("id", "v", F.lit(False).alias("asks"))
     )
     n = candidates.count()
-    pairs = n > TWO_AXES
+    pairs = n > TWO_AXES and needed_probes(n, size, k, tables, True) <= PAIR_PROBES
     asked = rows.where("asks").select("id", "v").distinct()
     reps = stash(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v", F.lit(True).alias("asks")))
-    probes = max(probes, 4 * size) if n <= 64 else probes  # a handful of vectors leaves most buckets empty
+    # a handful of vectors leaves most buckets empty
+    probes = max(probes, 4 * size) if n <= 64 else max(probes, needed_probes(n, size, k, tables, pairs))
 
     def hashed(batches):
         for b in batches:
             x = unit(matrix(b.column("v"), size))
             asks = np.asarray(b.column("asks").to_numpy(zero_copy_only=False), bool)
+            queries, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+            step = max(1, OUT_ROWS // probes)
+            parts = [(others, 1)] * (len(others) > 0) + [(queries[i : i + step], probes) for i in range(0, len(queries), step)]
             for t in range(tables):
-                got = buckets(x, t, probes, pairs)
-                at = np.concatenate([np.repeat(np.flatnonzero(asks), got.shape[1]), np.flatnonzero(~asks)])
-                number = np.concatenate([got[asks].reshape(-1), got[~asks, 0]])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pa.array(at)), b.column("v").take(pa.array(at)), b.column("asks").take(pa.array(at)), pa.array(np.full(len(at), t), pa.int32()), pa.array(number, pa.int64())],
-                    names=["id", "v", "asks", "t", "bucket"],
-                )
+                for rows, count in parts:
+                    got = buckets(x[rows], t, count, pairs)
+                    at = pa.array(np.repeat(rows, got.shape[1]))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("id").take(at), b.column("v").take(at), b.column("asks").take(at), pa.array(np.full(len(at), t), pa.int32()), pa.array(got.reshape(-1), pa.int64())],
+                        names=["id", "v", "asks", "t", "bucket"],
+                    )
 
     kind = candidates.schema["v"].dataType.simpleString()
     placed = stash(candidates.unionByName(reps).mapInArrow(hashed, f"id long, v {kind}, asks boolean, t int, bucket long"))

@@ -163,6 +163,36 @@ def test_few_vectors(spark, tmp_path):
     assert got == [(100, 1, 3), (100, 2, 200), (100, 3, 1), (100, 4, 2), (200, 1, 3), (200, 2, 100), (200, 3, 1), (200, 4, 2)]
 
 
+def test_neighbours_in_buckets_of_two_axes(spark, monkeypatch):
+    from barlake.llm import ann
+    from barlake.llm.vectors import unit
+
+    monkeypatch.setattr(ann, "TWO_AXES", 0)
+    x = unit(np.random.default_rng(8).normal(size=(5000, 32)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in ann.neighbours(df, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.id)
+    hits = sum(len(found[i] & {j for j in np.argsort(-(x @ x[i]), kind="stable")[:11].tolist() if j != i}) for i in range(0, 5000, 50))
+    assert hits >= 900
+
+
+@pytest.mark.parametrize(("n", "size", "pairs"), [(20_000_001, 64, True), (200_000_000, 64, True), (51_282, 64, False), (20_000_001, 48, True)])
+def test_probes_find_the_last_neighbour(n, size, pairs):
+    from barlake.llm import ann
+    from barlake.llm.vectors import unit
+
+    probes = max(ann.PROBES, ann.needed_probes(n, size, 10, ann.TABLES, pairs))
+    rng = np.random.default_rng(9)
+    x, y = unit(rng.normal(size=(500, size))), rng.normal(size=(500, size))
+    c = ann.expected_cosine(n, size, 10)
+    y = c * x + np.sqrt(1 - c * c) * unit(y - (x * y).sum(1, keepdims=True) * x)
+    hit = np.zeros(500, bool)
+    for t in range(ann.TABLES):
+        hit |= (ann.buckets(x, t, probes, pairs) == ann.buckets(y, t, 1, pairs)).any(1)
+    assert hit.mean() >= 0.9
+
+
 def test_quantiser_bound_holds():
     from barlake.llm.neardup import Quantiser
     from barlake.llm.vectors import unit
