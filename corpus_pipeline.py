@@ -7,12 +7,12 @@ executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlake.llm.bitmap import bitmap_rows, maybe_in
 from barlake.llm.bpe import encode
-from barlake.llm.common import stash, table
+from barlake.llm.common import WORD, stash, table
 from barlake.llm.jaccard import jaccard_components
 from barlake.llm.mixing import mixed_rows
 from barlake.llm.phrases import remove_repeats
@@ -43,12 +43,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id, unchanged."""
-    groups = jaccard_components(docs.select("doc_id", "text"))
-    gone = stash(groups.where("id != component_id").select(F.col("id").alias("doc_id")).distinct())
-    marks = bitmap_rows(gone, "doc_id")
-    # only documents that the bitmap of the dropped ids has are exchanged for the exact join
-    return maybe_in(docs, "doc_id", marks, inside=False).unionByName(maybe_in(docs, "doc_id", marks).join(gone, "doc_id", "left_anti").select(*_columns(docs)))
+    """One row of each group of near copies, that with the smallest id, unchanged.
+
+    Rows are told apart by a 63-bit hash of id and text: rows with the same id
+    and text are copies, another text of the same id is a document of its own,
+    and null ids are the largest.  Texts without words are copies of nothing
+    and stay.
+    """
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").bitwiseAND(F.lit((1 << 63) - 1))
+    keyed = docs.withColumn("__key", F.when(F.col("text").rlike(WORD), row))
+    again = keyed.where("__key IS NOT NULL").groupBy("__key").count().where("count > 1").select("__key")
+    marks = bitmap_rows(stash(again), "__key")
+    # of equal rows only those that the bitmap has are exchanged
+    first = Window.partitionBy("__key").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    one = maybe_in(keyed, "__key", marks).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    rows = stash(maybe_in(keyed, "__key", marks, inside=False).unionByName(one))
+    groups = jaccard_components(rows.select("__key", "text"), id_col="__key")
+    others = stash(groups.where("id != component_id").select(F.col("id").alias("__key"), "component_id"))
+    linked = others.unionByName(others.select(F.col("component_id").alias("__key"), "component_id").distinct())
+    names = maybe_in(rows.select("__key", "doc_id"), "__key", bitmap_rows(linked, "__key"))
+    members = stash(names.join(linked, "__key"))
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__key"))["__key"].alias("kept"))
+    gone = stash(members.join(kept, "component_id").where("__key != kept").select("__key"))
+    marks = bitmap_rows(gone, "__key")
+    # only documents that the bitmap of the dropped rows has are exchanged for the exact join
+    left = maybe_in(rows, "__key", marks, inside=False).unionByName(maybe_in(rows, "__key", marks).join(gone, "__key", "left_anti").select(*_columns(rows)))
+    return left.select(*_columns(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

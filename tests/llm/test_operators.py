@@ -385,6 +385,21 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert docs.where("n_tokens != size(ids)").isEmpty() and docs.count() > 0
 
 
+def test_near_duplicates_are_rows(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    a, b, c, d = (words(rng, 120, 5000) for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, near(a), "x"), (5, a, "x"), (5, b, "x"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (9, near(c), "x"), (None, d, "x"), (None, near(d), "x")]
+    without_words = [(None, "", "x"), (None, "", "x"), (6, None, "x"), (7, " ", "x")]
+    docs = spark.createDataFrame(rows + without_words, "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sum(t in (d, near(d)) and i is None for i, t, _ in got) == 1
+    rest = [r for r in got if r[1] not in (d, near(d))]
+    assert sorted(rest, key=repr) == sorted([(1, a, "x"), (5, b, "x"), (9, near(c), "x"), *without_words], key=repr)
+
+
 def test_bitmaps_keep_what_they_must(spark):
     from barlake.llm.bitmap import bitmap_array, bitmap_rows, in_array, maybe_in
 
