@@ -4,8 +4,8 @@ A page is a sequence of tokens.  Every word and every tag has a weight: the
 log-odds, learned from labelled pages, that a token of its kind lies in the
 main text.  Words of running text score above zero and tags below.  One linear
 scan finds the contiguous run of tokens with the largest sum.  The run is then
-widened to the smallest section that encloses it, so no short first or last
-paragraph is cut off, and the parts of it that are menus, notices, adverts,
+widened by the article that holds most of it, or else to the smallest section
+that encloses it, so no short first or last paragraph is cut off, and the parts of it that are menus, notices, adverts,
 forms, comments and the like are left out.
 """
 
@@ -53,6 +53,8 @@ TOKEN = re.compile(
     re.S,
 )
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: How a block outside the article starts that is a notice of the page.
+COPYRIGHT = re.compile(r"\s*(?:copyright\s*)?(?:©|\(c\))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
@@ -219,6 +221,7 @@ def main_text(html: str | None) -> str:
         scores.append(value + (0.0 if p.outside else sum(table.get("<" + t, tag) for t in p.tags)))
     a, b = best_run(scores)
     run = [p for p in found[a:b] if not p.outside and not p.text.isspace()]
+    whole = range(a, b)  # the element only widens: of the run, copyright lines outside it are all that goes
     if not run:
         return ""
     common = run[0].path
@@ -233,9 +236,11 @@ def main_text(html: str | None) -> str:
     depth = len(common)
     out: list[str] = []
     skipped = False
-    for p in found:
+    notice = False
+    for k, p in enumerate(found):
         skipped = skipped or p.breaks
-        if p.path[:depth] != common or p.outside:
+        notice = (notice and not p.breaks) or COPYRIGHT.match(unescape(p.text)) is not None
+        if p.outside or (p.path[:depth] != common and (notice or k not in whole)):
             skipped = True
             continue
         if p.breaks or skipped:

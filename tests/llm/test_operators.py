@@ -74,6 +74,18 @@ def test_pages(spark):
     assert [(r.main_text, r.main_chars) for r in got] == [("Tést & x ab c d end", 19)] * 2 + [("", 0)]
 
 
+def test_no_part_of_the_run_is_lost():
+    from barlake.llm.html import main_text
+
+    one, two = " ".join(f"one{i}" for i in range(120)), " ".join(f"two{i}" for i in range(80))
+    for inside in (
+        f"<article><p>{one}</p></article><article><p>{two}</p></article>",
+        f"<main><article><p>{one}</p></article><section><p>{two}</p></section></main>",
+        f"<article><article><p>{one}</p></article><p>{two}</p></article>",
+    ):
+        assert main_text(f"<html><body><nav>menu</nav>{inside}<footer>end</footer></body></html>") == f"{one} {two}"
+
+
 # --- classifiers
 
 
