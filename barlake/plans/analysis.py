@@ -193,7 +193,16 @@ query("threshold_metrics_M12_M15", f"{_SCORED}, g AS (SELECT CAST(unnest([0.5, 0
 )
 query("roc_auc_M13", f"{_SCORED}, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM s) SELECT {r6('(sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))', 'auc')} FROM r")(lambda s, d: mlprep.roc_auc(_scored(s, d)))
 query("best_f1_M14", f"{_SCORED}, g AS (SELECT CAST(i / 100.0 AS DOUBLE) AS t FROM range(1, 100) r(i)), {_M}, f AS (SELECT threshold, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c) SELECT {r6('threshold', 'threshold')}, {r6('f1', 'f1')} FROM f ORDER BY f.f1 DESC, f.threshold LIMIT 1")(lambda s, d: mlprep.best_threshold(_scored(s, d)))
-query("isotonic_M16")(lambda s, d: mlprep.isotonic(_scored(s, d).where("o_orderkey % 2 = 0"), _scored(s, d).where("o_orderkey % 2 = 1")).select("o_orderkey", "calibrated"))
+
+
+def _calibrated(spark, sf_dir):
+    """Every order, calibrated by the validation rows of the split in time."""
+    dates = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    split = mlprep.chronological_split(_scored(spark, sf_dir).join(dates, "o_orderkey"), order=("o_orderdate", "o_orderkey"))
+    return mlprep.isotonic(split.where("split = 'validation'"), split).select("o_orderkey", "split", "calibrated")
+
+
+query("isotonic_M16")(_calibrated)
 _PT = "CASE WHEN y = 1 THEN least(greatest(p, 1e-7), 1 - 1e-7) ELSE 1 - least(greatest(p, 1e-7), 1 - 1e-7) END"
 query("focal_M17", f"{_SCORED}, x AS (SELECT o_orderkey, y, CAST({_PT} AS DOUBLE) AS pt FROM s) SELECT o_orderkey, {r6('-ln(pt)', 'bce')}, {r6('-CASE WHEN y = 1 THEN 0.25 ELSE 0.75 END * (1 - pt) ** 2 * ln(pt)', 'focal')} FROM x")(lambda s, d: mlprep.losses(_scored(s, d)).select("o_orderkey", "bce", "focal"))
 query("feature_kinds_M1_M2", "SELECT unnest(['s_close', 'close_tb_4h', 'm_rsi', 'l_rsi', 'market_regime_x', 'CDLDOJI']) AS name, unnest(['short', 'short', 'medium', 'long', 'regime', 'unscaled']) AS kind")(

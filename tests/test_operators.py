@@ -179,3 +179,17 @@ def test_gaps_and_fill(spark):
     assert sorted((r.year, r.month) for r in profile.month_gaps(months).collect()) == [(2023, 12), (2024, 1)]
     w = series()
     assert finite.regimes(make_bars(spark, [1]).withColumns({"ema_fast": F.lit(2.0), "ema_slow": F.lit(1.0), "adx": F.lit(None).cast("double")})).first().regime_strong_up == 0 and w is not None
+
+
+def test_isotonic_returns_every_row_with_its_split(spark, sf_dir):
+    from barlake.operators import mlprep
+    from barlake.plans import analysis, catalogue
+
+    got = catalogue.queries()["isotonic_M16"](spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert got.count() == n and {r["split"] for r in got.select("split").distinct().collect()} == {"train", "validation", "test"}
+    rows = mlprep.chronological_split(analysis._scored(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate"), "o_orderkey"), order=("o_orderdate", "o_orderkey"))
+    test = mlprep.isotonic(rows.where("split = 'validation'"), rows.where("split = 'test'")).select("o_orderkey", "calibrated")
+    mine = {r.o_orderkey: r.calibrated for r in got.where("split = 'test'").collect()}
+    theirs = {r.o_orderkey: r.calibrated for r in test.collect()}
+    assert set(mine) == set(theirs) and all(math.isclose(mine[k], v, abs_tol=1e-6) for k, v in theirs.items())
