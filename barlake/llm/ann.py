@@ -1,14 +1,23 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each table turns the unit vectors by fast pseudo-rotations (random signs and a
-Hadamard transform, three times) and takes the nearest signed axis as bucket;
-with many vectors a bucket is two such axes.  A query probes the buckets of its
-nearest axes in every table, as many as its ``k``-th neighbour needs among that
-many evenly spread vectors (``needed_probes``).  Candidates are compared by exact Euclidean
-distance on the original vectors, in double precision.
-
-A block holds at most ``MEMBERS`` candidates and ``QUERIES`` queries of a
-bucket, however large the bucket, and returns the best of its own.
+Each table turns the unit vectors twice by fast pseudo-rotations (random signs
+and a Hadamard transform, three times) and takes the nearest signed axis each
+time; a bucket is such a pair of axes.  A query probes every bucket whose two
+coordinates of the query add up to ``reach`` at least, so the nearest buckets.
+
+How many tables there are and how far a probe reaches is measured, whatever the
+size, the dimensions and the shape of the data: the true neighbours of a
+bounded sample of queries are found by one exact scan, and of each number of
+tables the reach that finds ``RECALL`` of them is priced in comparisons and
+copies.  The cheapest is taken.  One table whose every bucket is probed is
+an exact search, so vectors that hashing can't tell apart cost a scan, not
+their neighbours.
+
+Queries that find fewer rows than they are owed are compared with all rows.
+
+A block holds a range of buckets of a table, at most ``MEMBERS`` candidates and
+``QUERIES`` queries, however large a bucket, and returns the best of its own.
+Distances are Euclidean, exact, on the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -18,19 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
-from .vectors import common_size, matrix, unit, usable
+from .common import batched, stash
+from .vectors import common_size, matrix, packed, unit, usable
 
-TABLES, PROBES = 10, 16
-MEMBERS, QUERIES = 4096, 1024
-#: Vectors above which a bucket takes two axes.
-TWO_AXES = 20_000_000
-#: Probes a table above which the copies of a query cost more than the smaller buckets of two axes save.
-PAIR_PROBES = 1024
-#: The chance of finding the ``k``-th neighbour that probes are chosen for; nearer ones have a better one.
+#: Queries whose true neighbours are found for the measurement, and candidates on which bucket sizes are estimated.
+SAMPLE, SIZE_SAMPLE = 96, 4096
+#: Share of the sample's true neighbours that must be found.
 RECALL = 0.95
+#: Numbers of tables to choose from, and what a copy of a vector costs in comparisons.
+TABLES, COPY = (1, 2, 4, 8, 16), 8
+MEMBERS, QUERIES = 4096, 1024
 #: Rows of a batch that leaves the hashing.
-OUT_ROWS = 32_768
+OUT_ROWS = 8192
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -54,80 +62,37 @@ def rotated(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``count`` nearest signed axes of each row, nearest first, and the coordinates along them."""
-    both = np.concatenate([x, -x], 1)
-    count = min(count, both.shape[1])
-    top = np.argpartition(-both, count - 1, 1)[:, :count]
-    value = np.take_along_axis(both, top, 1)
-    order = np.lexsort((top, -value), 1)
-    return np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
-
-
-def buckets(x: np.ndarray, table: int, probes: int, pairs: bool) -> np.ndarray:
-    """Bucket numbers of each row in one table, best first."""
-    if not pairs:
-        return axes(rotated(x, 2 * table), probes)[0]
-    a, va = axes(rotated(x, 2 * table), probes)
-    b, vb = axes(rotated(x, 2 * table + 1), probes)
-    # a pair of the i-th and j-th axis has i * j pairs at least as near, itself among them
-    i, j = np.nonzero(np.outer(np.arange(1, a.shape[1] + 1), np.arange(1, b.shape[1] + 1)) <= probes)
-    order = np.argsort(-(va[:, i] + vb[:, j]), 1, kind="stable")[:, :probes]
-    return np.take_along_axis(a[:, i] * 65536 + b[:, j], order, 1)
-
-
-def expected_cosine(n: int, size: int, k: int) -> float:
-    """The cosine of a vector's ``k``-th neighbour among ``n`` vectors that are spread evenly over the sphere."""
-    if size < 2 or n <= k:
-        return 1.0 if size < 2 else -1.0
-    angle = np.linspace(0, np.pi, 200_001)
-    share = np.cumsum(np.sin(angle) ** (size - 2))
-    return float(np.cos(np.interp(k / n, share / share[-1], angle)))
-
-
-def probe_ranks(cosine: float, size: int, pairs: bool, samples: int = 4000) -> np.ndarray:
-    """For random vectors and a neighbour of each at ``cosine``: how many buckets of a table are nearer to the vector than the neighbour's own."""
-    rng = np.random.default_rng(7)
-    found = []
-    for at in range(0, samples, 500):
-        x, y = unit(rng.normal(size=(500, size))), rng.normal(size=(500, size))
-        y -= (x * y).sum(1, keepdims=True) * x
-        y = cosine * x + np.sqrt(1 - cosine * cosine) * (unit(y) if size > 1 else 0 * x)
-        seeds = (at, at + 1)[: 1 + pairs]
-        coordinates = [rotated(x, s) for s in seeds]
-        coordinates = [np.concatenate([c, -c], 1) for c in coordinates]
-        own = [np.take_along_axis(c, axes(rotated(y, s), 1)[0], 1)[:, 0] for c, s in zip(coordinates, seeds, strict=True)]
-        if pairs:
-            second = np.sort(coordinates[1], 1)
-            least = (own[0] + own[1])[:, None] - coordinates[0]
-            found += [second.shape[1] * len(row) - np.searchsorted(b, row + 1e-12, side="right").sum() for row, b in zip(least, second, strict=True)]
-        else:
-            found += (coordinates[0] > own[0][:, None] + 1e-12).sum(1).tolist()
-    return np.array(found)
+def coordinates(x: np.ndarray, table: int, second: bool) -> np.ndarray:
+    """Coordinates along the signed axes of one of a table's two rotations; the largest is the nearest axis."""
+    x = rotated(x, 2 * table + second)
+    return np.concatenate([x, -x], 1)
 
 
-def needed_probes(n: int, size: int, k: int, tables: int, pairs: bool) -> int:
-    """Probes a table with which the ``k``-th of ``n`` evenly spread vectors is in a probed bucket of some table with a chance of ``RECALL``."""
-    if n <= k:
-        return 1
-    one = 1 - (1 - RECALL) ** (1 / tables)
-    return int(np.quantile(probe_ranks(expected_cosine(n, size, k), size, pairs), one, method="higher")) + 1
+def closeness(queries: np.ndarray, others: np.ndarray, table: int) -> np.ndarray:
+    """For each query and each other vector: how near the other's bucket is to the query, as the sum of the query's two coordinates."""
+    a, b = (coordinates(queries, table, s) for s in (False, True))
+    return a[:, coordinates(others, table, False).argmax(1)] + b[:, coordinates(others, table, True).argmax(1)]
 
 
-def best_of(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` nearest of ``x`` for each query, ties to smaller ids: (query row, id, distance)."""
+def best_of(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of ``x`` for each query, ties to smaller ids: (query row, id, distance).
+
+    ``allowed`` gives for a range of queries which of ``x`` to compare.
+    """
     rows, found, far = [], [], []
     squares = (x * x).sum(1)
     for i in range(0, len(queries), 256):
         part = queries[i : i + 256]
         rough = squares - 2 * part @ x.T + (part * part).sum(1)[:, None]
+        if allowed is not None:
+            rough[~allowed(slice(i, i + len(part)))] = np.inf
         if len(x) > k:
             # rounding can swap neighbours in the rough values: all within it of the k-th are compared exactly
             kth = np.partition(rough, k - 1, 1)[:, k - 1]
-            slack = 1e-9 * (np.abs(kth) + (part * part).sum(1) + squares.max())
-            r, c = np.nonzero(rough <= (kth + slack)[:, None])
+            slack = 1e-9 * (np.abs(np.where(np.isinf(kth), 0, kth)) + (part * part).sum(1) + squares.max())
+            r, c = np.nonzero((rough <= (kth + slack)[:, None]) & (rough < np.inf))
         else:
-            r, c = np.nonzero(np.ones(rough.shape, bool))
+            r, c = np.nonzero(rough < np.inf)
         d = np.sqrt(((part[r] - x[c]) ** 2).sum(1))
         order = np.lexsort((ids[c], d, r))
         r, c, d = r[order], c[order], d[order]
@@ -139,77 +104,161 @@ def best_of(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tupl
     return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(found or [np.zeros(0, int)]), np.concatenate(far or [np.zeros(0)])
 
 
-def neighbours(
-    vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = TABLES, probes: int = PROBES
-) -> DataFrame:
+def chosen(queries: np.ndarray, neighbours: list[np.ndarray], others: np.ndarray, n: int, asked: int) -> tuple[int, float, float]:
+    """Number of tables, reach of a probe and comparisons per query to be expected.
+
+    ``neighbours`` are the true neighbours of each of the sample's ``queries``,
+    ``others`` a sample of the ``n`` candidates, ``asked`` the number of queries.
+    """
+    queries = unit(queries)
+    owner = np.repeat(np.arange(len(queries)), [len(x) for x in neighbours])
+    if not len(owner):
+        return 1, -np.inf, float(n)
+    near = unit(np.concatenate(neighbours))
+    others = unit(others)
+    found = np.full(len(owner), -np.inf)
+    spread: list[np.ndarray] = []
+    best = None
+    for t in range(max(TABLES)):
+        found = np.maximum(found, closeness(queries, near, t)[owner, np.arange(len(owner))])
+        spread.append(np.sort(closeness(queries, others, t).reshape(-1)))
+        if t + 1 in TABLES:
+            reach = float(np.quantile(found, 1 - RECALL, method="lower")) - 1e-9
+            compared = n * sum(1 - np.searchsorted(x, reach) / len(x) for x in spread)
+            cost = compared + COPY * (t + 1) * n / max(1, asked)
+            if best is None or cost < best[0]:
+                best = cost, t + 1, reach, compared
+    return best[1:]
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed`` (``t``, ``bucket``, ``id``, ``v``, ``axis``, ``asks``) by block: every query of a bucket meets every candidate of it once."""
+    sizes = placed.groupBy("t", "bucket").agg(
+        F.ceil(F.count_if(~F.col("asks")) / MEMBERS).cast("int").alias("m_parts"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("q_parts")
+    ).where("m_parts > 0 AND q_parts > 0")
+    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    own = F.when(F.col("asks"), F.col("q_parts")).otherwise(F.col("m_parts"))
+    others = F.when(F.col("asks"), F.col("m_parts")).otherwise(F.col("q_parts"))
+    return (
+        placed.join(sizes, ["t", "bucket"])
+        .withColumns({"own": own, "others": others})
+        .withColumns({"mine": spread("own", 3), "other": F.explode(F.sequence(F.lit(0), F.col("others") - 1))})
+        .select("t", "bucket", F.when(F.col("asks"), F.col("other")).otherwise(F.col("mine")).alias("m"), F.when(F.col("asks"), F.col("mine")).otherwise(F.col("other")).alias("w"), "id", "v", "axis", "asks")
+    )
+
+
+def neighbours(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
     """The ``k`` nearest rows found for each row for which ``is_query`` (a column) holds: ``query_id``, ``rank``, ``id``, ``score``.
 
     Vectors that are null, zero, hold null or non-finite components, or have
     another number of components than most take no part, and neither do null
-    ids.  ``probes`` is the least number; more are taken where the number of
-    vectors and their dimensions need them.  Equal vectors are searched once; of a group of equal candidates the
+    ids.  Equal vectors are searched once; of a group of equal candidates the
     ``k`` + 1 smallest ids can be among the nearest.  With fewer candidates all
-    are returned.  A query isn't its own neighbour; rows that repeat an id are
-    one candidate.  Other columns are left out.
+    are returned.  A query isn't its own neighbour; rows that repeat an id with
+    an equal vector are one candidate.  An empty table, or one without queries,
+    gives no rows.  Ties go to smaller ids.  Other columns are left out.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("asks"))
     rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
     size = common_size(rows, "v")
     rows = rows.where(F.size("v") == size)
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    spark = rows.sparkSession
     if not size:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     first = Window.partitionBy("v").orderBy("id")
     candidates = stash(
         rows.select("id", "v").distinct().withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).select("id", "v", F.lit(False).alias("asks"))
     )
-    n = candidates.count()
-    pairs = n > TWO_AXES and needed_probes(n, size, k, tables, True) <= PAIR_PROBES
     asked = rows.where("asks").select("id", "v").distinct()
     reps = stash(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v", F.lit(True).alias("asks")))
-    # a handful of vectors leaves most buckets empty
-    probes = max(probes, 4 * size) if n <= 64 else max(probes, needed_probes(n, size, k, tables, pairs))
+    n, n_asked = candidates.count(), reps.count()
+    tables, reach, groups = _plan(candidates, reps, n, n_asked, size, k)
+    axes = 2 << max(0, int(size - 1).bit_length())
 
     def hashed(batches):
         for b in batches:
             x = unit(matrix(b.column("v"), size))
             asks = np.asarray(b.column("asks").to_numpy(zero_copy_only=False), bool)
             queries, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-            step = max(1, OUT_ROWS // probes)
-            parts = [(others, 1)] * (len(others) > 0) + [(queries[i : i + step], probes) for i in range(0, len(queries), step)]
             for t in range(tables):
-                for rows, count in parts:
-                    got = buckets(x[rows], t, count, pairs)
-                    at = pa.array(np.repeat(rows, got.shape[1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("id").take(at), b.column("v").take(at), b.column("asks").take(at), pa.array(np.full(len(at), t), pa.int32()), pa.array(got.reshape(-1), pa.int64())],
-                        names=["id", "v", "asks", "t", "bucket"],
-                    )
+                parts = []
+                if len(others):
+                    axis = coordinates(x[others], t, True).argmax(1)
+                    parts.append((others, coordinates(x[others], t, False).argmax(1) * groups + axis * groups // axes, axis))
+                for i in range(0, len(queries), 256):
+                    some = queries[i : i + 256]
+                    # a group of buckets is visited if its nearest bucket is within reach
+                    best = coordinates(x[some], t, True).reshape(len(some), groups, -1).max(2)
+                    at, bucket = np.nonzero((coordinates(x[some], t, False)[:, :, None] + best[:, None, :] >= reach).reshape(len(some), -1))
+                    parts.append((some[at], bucket, np.full(len(at), -1)))
+                for at, bucket, axis in parts:
+                    for i in range(0, len(at), OUT_ROWS):
+                        take = pa.array(at[i : i + OUT_ROWS])
+                        yield pa.RecordBatch.from_arrays(
+                            [*[b.column(c).take(take) for c in ("id", "v", "asks")], pa.array(np.full(len(take), t), pa.int32()), pa.array(bucket[i : i + OUT_ROWS], pa.int64()), pa.array(axis[i : i + OUT_ROWS], pa.int32())],
+                            names=["id", "v", "asks", "t", "bucket", "axis"],
+                        )
 
-    kind = candidates.schema["v"].dataType.simpleString()
-    placed = stash(candidates.unionByName(reps).mapInArrow(hashed, f"id long, v {kind}, asks boolean, t int, bucket long"))
-    sizes = placed.groupBy("t", "bucket").agg(
-        F.ceil(F.count_if(~F.col("asks")) / MEMBERS).cast("int").alias("m_parts"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("q_parts")
-    ).where("m_parts > 0 AND q_parts > 0")
-    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    own = F.when(F.col("asks"), F.col("q_parts")).otherwise(F.col("m_parts"))
-    others = F.when(F.col("asks"), F.col("m_parts")).otherwise(F.col("q_parts"))
-    blocks = (
-        placed.join(sizes, ["t", "bucket"])
-        .withColumns({"own": own, "others": others})
-        .withColumns({"mine": spread("own", 3), "other": F.explode(F.sequence(F.lit(0), F.col("others") - 1))})
-        .select("t", "bucket", F.when(F.col("asks"), F.col("other")).otherwise(F.col("mine")).alias("m"), F.when(F.col("asks"), F.col("mine")).otherwise(F.col("other")).alias("w"), "id", "v", "asks")
-    )
-
-    def block(table):
+    def block(key, table):
+        t, first_axis = key[0].as_py(), key[1].as_py() // groups
+        table = table.combine_chunks()
         asks = np.asarray(table.column("asks").to_numpy(), bool)
         ids, x = np.asarray(table.column("id")), matrix(table.column("v").combine_chunks(), size)
-        r, found, far = best_of(x[asks], ids[~asks], x[~asks], k + 1)
+        allowed = None
+        if t >= 0:
+            axis, turned = np.asarray(table.column("axis"))[~asks], unit(x[asks])
+            ours, second = coordinates(turned, t, False)[:, first_axis], coordinates(turned, t, True)
+            allowed = lambda part: ours[part, None] + second[part][:, axis] >= reach
+        r, found, far = best_of(x[asks], ids[~asks], x[~asks], k + 1, allowed)
         return pa.table({"q": pa.array(ids[asks][r], pa.int64()), "id": pa.array(found, pa.int64()), "score": pa.array(far, pa.float64())})
 
-    best = blocks.groupBy("t", "bucket", "m", "w").applyInArrow(block, "q long, id long, score double").groupBy("q", "id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("q").orderBy("score", "id")
-    top = stash(best.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k + 1).drop("__n"))
+    def searched(placed):
+        best = _blocks(placed).groupBy("t", "bucket", "m", "w").applyInArrow(block, "q long, id long, score double").groupBy("q", "id").agg(F.min("score").alias("score"))
+        order = Window.partitionBy("q").orderBy("score", "id")
+        return best.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k + 1).drop("__n")
+
+    kind = candidates.schema["v"].dataType.simpleString()
+    everything = candidates.unionByName(reps)
+    placed = batched(everything).mapInArrow(hashed, f"id long, v {kind}, asks boolean, t int, bucket long, axis int")  # hashed twice, for the sizes and for the blocks: writing it down would take more
+    top = stash(searched(placed))
+    counted = top.groupBy(F.col("q").alias("id")).agg(F.count("*").alias("__n"))
+    short = stash(reps.join(counted, "id", "left").where(F.coalesce("__n", F.lit(0)) < min(k + 1, n)).select("id", "v", "asks"))
+    if not short.isEmpty():
+        # in blocks against all rows
+        whole = short.unionByName(candidates).withColumns({"t": F.lit(-1), "bucket": F.lit(0).cast("long"), "axis": F.lit(-1)})
+        top = stash(top.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(searched(whole)))
     answers = asked.withColumnRenamed("id", "query_id").join(reps.select("v", F.col("id").alias("q")), "v").drop("v").join(top, "q").where("id != query_id")
     ranked = Window.partitionBy("query_id").orderBy("score", "id")
     return answers.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _sample(df: DataFrame, n: int, limit: int, salt: int) -> DataFrame:
+    """About ``limit`` rows by a hash of the id, all if there are no more."""
+    if n <= limit:
+        return df
+    return df.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < int(limit / n * (1 << 30)))
+
+
+def _plan(candidates: DataFrame, reps: DataFrame, n: int, n_asked: int, size: int, k: int) -> tuple[int, float, int]:
+    """Tables, reach, and into how many groups the second axis is divided, so that a group of buckets has about ``MEMBERS`` candidates."""
+    got = _sample(reps, n_asked, SAMPLE, 5).select("id", "v").toArrow()
+    ids, x = np.asarray(got.column("id"), np.int64), matrix(got.column("v").combine_chunks(), size)
+
+    def scan(batches):
+        for b in batches:
+            own, y = np.asarray(b.column("id"), np.int64), matrix(b.column("v"), size)
+            r, found, far = best_of(x, own, y, k + 1)
+            at = {i: p for p, i in enumerate(own.tolist())}
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(found, pa.int64()), pa.array(far, pa.float64()), packed(y[[at[i] for i in found.tolist()]])], names=["q", "id", "score", "v"])
+
+    order = Window.partitionBy("q").orderBy("score", "id")
+    nearest = batched(candidates.select("id", "v")).mapInArrow(scan, "q long, id long, score double, v array<double>").where("q != id")
+    nearest = nearest.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).toArrow()  # SAMPLE * k rows
+    owner, y = np.asarray(nearest.column("q"), np.int64), matrix(nearest.column("v").combine_chunks(), size) if nearest.num_rows else np.zeros((0, size))
+    others = _sample(candidates, n, SIZE_SAMPLE, 6).select("v").toArrow()
+    z = matrix(others.column("v").combine_chunks(), size) if others.num_rows else x
+    tables, reach, _ = chosen(x, [y[owner == i] for i in ids.tolist()], z, n, n_asked) if len(ids) else (1, -np.inf, 0.0)
+    axes, groups = 2 << max(0, int(size - 1).bit_length()), 1
+    while groups < axes and n > MEMBERS * axes * groups:
+        groups *= 2
+    return tables, reach, groups

@@ -14,6 +14,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: A word: a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch of rows that goes to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+
 #: A lookup table of at most this many rows may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -30,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to send rows to Python by bytes: long texts would else make batches of 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession

@@ -175,34 +175,82 @@ def test_few_vectors(spark, tmp_path):
     assert got == [(100, 1, 3), (100, 2, 200), (100, 3, 1), (100, 4, 2), (200, 1, 3), (200, 2, 100), (200, 3, 1), (200, 4, 2)]
 
 
-def test_neighbours_in_buckets_of_two_axes(spark, monkeypatch):
+def vector_rows(spark, x):
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+
+
+def exact_neighbours(x, i, k=10):
+    d = ((x - x[i]) ** 2).sum(1)
+    d[i] = np.inf
+    return set(np.argsort(d, kind="stable")[: min(k, len(x) - 1)].tolist())
+
+
+@pytest.mark.parametrize(
+    ("n", "size", "every", "clusters", "members"),
+    [(8000, 64, 50, 0, 4096), (8000, 64, 50, 0, 16), (4000, 256, 50, 0, 4096), (2000, 768, 50, 0, 4096), (4000, 768, 50, 40, 4096), (100, 768, 1, 0, 4096), (65, 20, 1, 0, 4096), (5000, 32, 50, 3, 64)],
+)
+def test_neighbours_are_found_whatever_the_vectors(spark, monkeypatch, n, size, every, clusters, members):
+    """Recall against brute force in every regime: many and few dimensions and rows, even and clustered, one and many groups of buckets."""
     from barlake.llm import ann
-    from barlake.llm.vectors import unit
 
-    monkeypatch.setattr(ann, "TWO_AXES", 0)
-    x = unit(np.random.default_rng(8).normal(size=(5000, 32)))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(ann, "MEMBERS", members)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, size))
+    if clusters:
+        x = 0.3 * x + rng.normal(size=(clusters, size))[rng.integers(0, clusters, n)]
+    df = vector_rows(spark, x).withColumns({c: F.lit("clash") for c in ("id", "t", "bucket", "v")})
     found = {}
-    for r in ann.neighbours(df, F.col("vec_id") % 50 == 0).collect():
+    for r in ann.neighbours(df, F.col("vec_id") % every == 0).collect():
         found.setdefault(r.query_id, set()).add(r.id)
-    hits = sum(len(found[i] & {j for j in np.argsort(-(x @ x[i]), kind="stable")[:11].tolist() if j != i}) for i in range(0, 5000, 50))
-    assert hits >= 900
+    wanted = {i: exact_neighbours(x, i) for i in range(0, n, every)}
+    assert set(found) == set(wanted) and all(len(found[i]) == len(w) for i, w in wanted.items())
+    assert sum(len(found[i] & w) for i, w in wanted.items()) >= 0.9 * sum(map(len, wanted.values()))
 
 
-@pytest.mark.parametrize(("n", "size", "pairs"), [(20_000_001, 64, True), (200_000_000, 64, True), (51_282, 64, False), (20_000_001, 48, True)])
-def test_probes_find_the_last_neighbour(n, size, pairs):
+def test_hashing_compares_few(spark):
+    """Where neighbours are near, few candidates are compared; where they aren't, never more than all."""
     from barlake.llm import ann
-    from barlake.llm.vectors import unit
 
-    probes = max(ann.PROBES, ann.needed_probes(n, size, 10, ann.TABLES, pairs))
-    rng = np.random.default_rng(9)
-    x, y = unit(rng.normal(size=(500, size))), rng.normal(size=(500, size))
-    c = ann.expected_cosine(n, size, 10)
-    y = c * x + np.sqrt(1 - c * c) * unit(y - (x * y).sum(1, keepdims=True) * x)
-    hit = np.zeros(500, bool)
-    for t in range(ann.TABLES):
-        hit |= (ann.buckets(x, t, probes, pairs) == ann.buckets(y, t, 1, pairs)).any(1)
-    assert hit.mean() >= 0.9
+    rng = np.random.default_rng(3)
+    for size, noise, most in ((64, 0.3, 0.05), (64, 9.0, 1.0), (768, 9.0, 1.0)):
+        centres = rng.normal(size=(2000, size))
+        x = centres[np.arange(20_000) % 2000] + noise * rng.normal(size=(20_000, size))
+        asked = x[:40]
+        near = [x[sorted(exact_neighbours(x, i))] for i in range(40)]
+        assert ann.chosen(asked, near, x[-4096:], len(x), 200)[2] <= most * len(x)
+
+
+@pytest.mark.parametrize("size", [8, 16, 64])
+def test_links_are_counted_at_both_ends(spark, monkeypatch, size):
+    """``n_links`` equals brute force with dozens of lists, whichever end finds the link."""
+    from barlake.llm import neardup
+
+    monkeypatch.setattr(neardup, "LISTS_PER_ROOT", 1.0)
+    rng = np.random.default_rng(4)
+    n = 4000
+    x = rng.normal(size=(n, size))
+    x[2000:] = x[rng.integers(0, 2000, 2000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(n, size))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    angle = np.where(np.arange(n) < 2000, 0, np.arccos(0.951) * rng.uniform(0.5, 1, n))[:, None]
+    x = np.cos(angle) * x + np.sin(angle) * y
+    x[77] = x[78]
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label, np.where(link, label[None, :], n).min(1))
+        if (low == label).all():
+            break
+        label = low
+    df = vector_rows(spark, x).withColumns({c: F.lit("clash") for c in ("rep", "home", "v", "id")})
+    got = {r.id: r for r in neardup.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(n)] == link.sum(1).tolist()
+    assert [got[i].component_id for i in range(n)] == label.tolist()
 
 
 def test_quantiser_bound_holds():
@@ -325,6 +373,29 @@ def test_bpe_round_trip(spark, corpus):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
+def test_bpe_of_long_texts_is_bounded(spark):
+    """Texts that Spark can't split are cut at word bounds, and neither they nor long words enter a task's table."""
+    from tokenizers import Tokenizer
+
+    from barlake.llm import bpe
+
+    rng = np.random.default_rng(5)
+    t = Tokenizer.from_file(q.vocabulary())
+    long = [" ".join(f"w{x}  \n" for x in rng.integers(0, 10**6, 20_000)) + "\U0001fae8" + "x" * 300 + " end" * k for k in range(6)] + ["y" * 100_000 + " z", "a\x00b \x00"]
+    assert max(map(len, bpe.cuts(long[0]))) < bpe.CUT + 100 and "".join(bpe.cuts(long[0])) == long[0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(long)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.ids for r in bpe.encode(df, q.vocabulary(), keep_text=False).collect()}
+    assert all(got[i] == t.encode(x, add_special_tokens=False).ids for i, x in enumerate(long))
+    table = bpe.WordTable(t)
+    whole = 0
+    for i in range(12):
+        words = [f"q{i}w{k}" for k in range(30_000)] + ["l" * 1000]
+        ids, ends = table.ids_of(words)
+        whole += len(words)
+        assert ids[ends[-2] : ends[-1]].tolist() == t.encode("l" * 1000).ids and ids[ends[7] : ends[8]].tolist() == t.encode(words[7]).ids
+    assert len(table.row) < whole and table.bytes <= bpe.TABLE_BYTES + 30_000 * 300 and max(map(len, table.row)) <= bpe.LONGEST_WORD
+
+
 def test_mixing(spark, corpus):
     from barlake.llm.mixing import mix, mixed_rows, source_targets
     from tests.compare import diff
