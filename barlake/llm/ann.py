@@ -34,8 +34,8 @@ from .vectors import common_size, matrix, packed, unit, usable
 SAMPLE, SIZE_SAMPLE = 96, 4096
 #: Share of the sample's true neighbours that must be found.
 RECALL = 0.95
-#: Numbers of tables to choose from, and what a copy of a vector costs in comparisons.
-TABLES, COPY = (1, 2, 4, 8, 16), 8
+#: Numbers of tables to choose from, so copies of a vector whatever the size, and what a copy costs in comparisons.
+TABLES, COPY = (1, 8), 1
 MEMBERS, QUERIES = 4096, 1024
 #: Rows of a batch that leaves the hashing.
 OUT_ROWS = 8192
