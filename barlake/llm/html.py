@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from .common import extended
+from .common import batched, extended
 from .labelled_pages import LABELLED_PAGES
 
 # HTML elements by role.
@@ -267,4 +267,4 @@ def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "main_t
                 [*b.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, text_col, length_col]
             )
 
-    return base.mapInArrow(run, schema)
+    return batched(base).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap_rows, maybe_in
-from .common import BROADCAST_ROWS, stash
+from .common import BROADCAST_ROWS, batched, stash
 from .components import connected_components
 from .shingles import joined, shingle_sets, slices
 
@@ -144,7 +144,7 @@ def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(full), pa.binary()), pa.nulls(len(full), pa.binary()), pa.array(full, pa.int64()), pa.array(counter[full], pa.int64())], names=names)
 
     names = ["id", "n", "low", "high", "point", "fine", "bucket", "count"]
-    return stash(docs.mapInArrow(run, "id long, n long, low long, high long, point binary, fine binary, bucket long, count long"))
+    return stash(batched(docs).mapInArrow(run, "id long, n long, low long, high long, point binary, fine binary, bucket long, count long"))
 
 
 def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from .bitmap import bitmap_array, bitmap_rows, in_array, maybe_in
-from .common import extended, stash
+from .common import batched, extended, stash
 from .shingles import hashed_words, run_starts, runs, slices
 
 WINDOW, ANCHOR = 13, 5
@@ -137,7 +137,7 @@ def remove_repeats(
                 new[1:] = (w.anchors[1:] != w.anchors[:-1]) | (w.owner[1:] != w.owner[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(w.anchors[new].view(np.int64)), b.column("key").take(pa.array(w.owner[new]))], names=["anchor", "key"])
 
-    used = texts.where("id IS NOT NULL")
+    used = batched(texts.where("id IS NOT NULL"))
     spans = used.mapInArrow(anchors, "anchor long, key long").groupBy("anchor").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n"))
     recurring = stash(spans.where("first < last").select("anchor", "n"))
     seen = spark.sparkContext.broadcast(bitmap_array(recurring, "anchor"))  # 8 MB

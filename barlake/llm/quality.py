@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from .common import bounded_labels, extended
+from .common import batched, bounded_labels, extended
 
 #: Labelled rows that the fit may read at most.
 FIT_ROWS = 12_000
@@ -176,7 +176,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", l
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__label").cast(pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     schema = extended(joined.select("doc_id"), label=LongType(), x=ArrayType(DoubleType()))
-    got = joined.select("doc_id", "text", "__label").mapInArrow(run, schema).toArrow()
+    got = batched(joined.select("doc_id", "text", "__label")).mapInArrow(run, schema).toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x[order], got.column("label").to_numpy()[order])
@@ -199,4 +199,4 @@ def score_quality(docs: DataFrame, model: AdditiveModel, *, text_col: str = "tex
             x = np.array([describe(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(x), pa.float64())], names=[*keep, score_col])
 
-    return base.mapInArrow(run, schema)
+    return batched(base).mapInArrow(run, schema)

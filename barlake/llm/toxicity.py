@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from .common import bounded_labels, extended
+from .common import batched, bounded_labels, extended
 
 #: Labelled rows that the fit may read at most; the rest of the table never matters to it.
 FIT_ROWS = 12_000
@@ -123,7 +123,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, limit: int, i
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__label").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "label", "terms"])
 
     schema = extended(joined.select("doc_id"), label=LongType(), terms=ArrayType(LongType()))
-    got = joined.select("doc_id", "text", "__label").mapInArrow(run, schema).toArrow()
+    got = batched(joined.select("doc_id", "text", "__label")).mapInArrow(run, schema).toArrow()
     order = np.lexsort((np.array([len(x) for x in got.column("terms")]), got.column("doc_id").to_numpy()))
     lists = got.column("terms").to_pylist()
     y = got.column("label").to_numpy()
@@ -153,4 +153,4 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, *, text_col: st
             scores = machine.score([terms_of(t.as_py()) for t in texts])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*keep, score_col])
 
-    return base.mapInArrow(run, schema)
+    return batched(base).mapInArrow(run, schema)
