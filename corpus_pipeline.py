@@ -85,7 +85,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every row of the mixture."""
-    return encode(docs.select("doc_id", "source", "text"), vocabulary()).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = encode(docs.select("doc_id", "source", "text"), vocabulary(), keep_text=False)
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
