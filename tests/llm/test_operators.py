@@ -119,6 +119,29 @@ def test_factorization_machine_learns_an_interaction():
     assert fit([terms_of("a")] * 3, np.zeros(3)).score([terms_of("a"), terms_of("")])[0] < 0.5
 
 
+def test_factorization_machine_learns_terms_that_only_matter_together():
+    """Exclusive or of two frequent words; and two rare words, each about as often toxic as any, always toxic together."""
+    from barlake.llm.toxicity import fit
+
+    rng = np.random.default_rng(0)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.integers(2, size=2)
+        rows.append(np.unique([*rng.integers(1000, 1400, 20), *[1] * a, *[2] * b]))
+        labels.append(int(a ^ b))
+    m = fit(rows[:2500], np.array(labels[:2500]))
+    assert ((m.score(rows[2500:]) > 0.5) == labels[2500:]).mean() > 0.95
+    rows, labels = [], []
+    for i in range(6000):
+        row = [*rng.integers(1000, 3000, 30), *[9] * (i % 10 == 0), *[1] * (i < 70), *[2] * (i < 8 or 1000 <= i < 1062)]
+        rows.append(np.unique(row))
+        labels.append(int(i < 8 or i % 10 == 0))
+    y, has = np.array(labels), np.array([[t in r for t in (1, 2)] for r in rows])
+    assert y[has[:, 0]].mean() < 0.25 and y[has[:, 1]].mean() < 0.25 and y[has.all(1)].all()
+    s = fit(rows, y).score([np.array(x, np.int64) for x in ([1, 2], [1], [2], [])])
+    assert s[0] > 0.5 and max(s[1:]) < 0.3
+
+
 def test_additive_model_learns_an_interaction():
     from barlake.llm.quality import FEATURES, describe, fit
 
