@@ -80,11 +80,42 @@ def test_label_ties(spark):
 
 
 def test_label_methods_agree(spark):
+    """Slices of a few rows, one slice and a bounded frame give the same labels, those of a loop."""
     rng = np.random.default_rng(1)
-    bars = make_bars(spark, 100 + rng.normal(0, 1, 700).cumsum(), 0.5)
-    far = {r.ts: r.label for r in labels.fixed_percent(bars, 0.04, 0.04, start=4).collect()}
-    whole = {r.ts: r.label for r in labels.fixed_percent(bars, 0.04, 0.04, horizon=700).collect()}
-    assert far == whole and {0, 1} <= set(far.values())
+    close = 100 + rng.normal(0, 1, 700).cumsum()
+    bars = make_bars(spark, close, 0.5)
+    bars = bars.union(bars.withColumn("symbol", F.lit("B"))).union(bars.withColumn("symbol", F.lit(None).cast("string")))
+    one = lambda df: {(r.symbol, r.ts): r.label for r in df.collect()}
+    far = one(labels.fixed_percent(bars, 0.04, 0.04, slice_rows=20))
+    assert far == one(labels.fixed_percent(bars, 0.04, 0.04, horizon=700)) == one(labels.fixed_percent(bars, 0.04, 0.04)) and {0, 1} <= set(far.values())
+    assert len(far) == 2100
+    for i in range(0, 700, 13):
+        after = [(c + 0.5 >= close[i] * 1.04, c - 0.5 <= close[i] * 0.96) for c in close[i + 1 :]]
+        hit = next(((u, d) for u, d in after if u or d), None)
+        assert far["A", DAY + dt.timedelta(hours=i)] == (None if hit is None else int(hit[0] and not hit[1]))
+
+
+def test_extremes_find_the_first_bar():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 7, 64, 100):
+        high, low = rng.normal(size=n), rng.normal(size=n) - 1
+        high[rng.integers(n)] = np.nan
+        tree = labels.Extremes(high, low)
+        start, take, stop = rng.integers(0, n + 2, 200), rng.normal(size=200) + 1, rng.normal(size=200) - 2
+        take[:3] = np.nan
+        got = tree.first(start, take, stop)
+        for i in range(200):
+            want = next((j for j in range(start[i], n) if high[j] >= take[i] or low[j] <= stop[i]), n) if take[i] == take[i] else n
+            assert got[i] == want
+
+
+def test_long_series_are_labelled_in_linear_time(spark):
+    import time
+
+    rows = spark.range(200_000).select(F.lit("A").alias("symbol"), F.timestamp_seconds("id").alias("ts"), *[(100 + F.col("id") * (1e-9 if c != "low" else 1e-10)).alias(c) for c in ("open", "high", "low", "close")])
+    began = time.time()
+    done = labels.fixed_percent(rows, 0.5, 0.5, slice_rows=20_000)
+    assert done.where("label IS NULL").count() == 200_000 and time.time() - began < 60
 
 
 def test_asof_keeps_null_payloads(spark):
