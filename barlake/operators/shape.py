@@ -46,18 +46,30 @@ def find_peaks(x: np.ndarray, distance: int = 1, least: float = 0.0) -> np.ndarr
     return np.array([p for p in sorted(keep) if prominence(x, p) >= least], int)
 
 
-def _divergences(price: np.ndarray, mark: np.ndarray, peaks: np.ndarray, mark_peaks: np.ndarray, reach: int) -> list[int]:
-    """Later peaks of pairs at most ``reach`` apart with a higher price and a lower mark at its nearest peaks."""
+def diverging(price: np.ndarray, mark: np.ndarray, peaks: np.ndarray, mark_peaks: np.ndarray, reach: int) -> list[int]:
+    """Peaks for which an earlier peak at most ``reach`` bars back has a lower price and a higher mark.
+
+    The marks are those of the indicator's peaks nearest to the two (the earlier
+    of two as near), which must differ and each be less than half of ``reach`` away.
+    """
     if not len(mark_peaks):
         return []
-    near = lambda p: mark_peaks[np.argmin(np.abs(mark_peaks - p))]
-    return [b for a, b in zip(peaks, peaks[1:], strict=False) if b - a <= reach and price[b] > price[a] and mark[near(b)] < mark[near(a)]]
+    near = np.array([mark_peaks[np.argmin(np.abs(mark_peaks - p))] for p in peaks], int)
+    aligned = np.abs(near - peaks) < reach / 2
+    out = []
+    for i in range(1, len(peaks)):
+        j = np.arange(np.searchsorted(peaks, peaks[i] - reach), i)
+        if aligned[i] and ((price[peaks[j]] < price[peaks[i]]) & aligned[j] & (near[j] != near[i]) & (mark[near[j]] > mark[near[i]])).any():
+            out.append(int(peaks[i]))
+    return out
 
 
-def divergences(bars: DataFrame, *, keys: Sequence[str] = ("symbol",), order: str = "ts", n: int = 14, distance: int = 5, share: float = 0.01, reach: int = 30) -> DataFrame:
+def divergences(bars: DataFrame, *, keys: Sequence[str] = ("symbol",), order: str = "ts", n: int = 14, distance: int = 5, share: float = 0.005, mark_least: float = 1.0, reach: int = 30) -> DataFrame:
     """Add ``is_high_peak``, ``is_low_peak``, ``bearish_divergence`` and ``bullish_divergence`` (0/1).
 
-    A peak is known only after the bars behind it: these flags look ahead.
+    Price peaks have a prominence of ``share`` of the mean price at least, those
+    of the indicator (relative strength of ``n`` bars) of ``mark_least``.
+        A peak is known only after the bars behind it: these flags look ahead.
     """
     names = ["is_high_peak", "is_low_peak", "bearish_divergence", "bullish_divergence"]
     schema = ", ".join(f"`{c}` {t}" for c, t in bars.dtypes) + "".join(f", {c} int" for c in names)
@@ -65,19 +77,21 @@ def divergences(bars: DataFrame, *, keys: Sequence[str] = ("symbol",), order: st
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
         high, low, mark = frame["high"].to_numpy(float), frame["low"].to_numpy(float), rsi(frame["close"].to_numpy(float), n)
-        filled = np.nan_to_num(mark, nan=50.0)
         flags = {c: np.zeros(len(frame), np.int32) for c in names}
         tops, bottoms = find_peaks(high, distance, share * high.mean()), find_peaks(-low, distance, share * low.mean())
         flags["is_high_peak"][tops], flags["is_low_peak"][bottoms] = 1, 1
-        flags["bearish_divergence"][_divergences(high, filled, tops, find_peaks(filled, distance), reach)] = 1
-        flags["bullish_divergence"][_divergences(-low, -filled, bottoms, find_peaks(-filled, distance), reach)] = 1
+        flags["bearish_divergence"][diverging(high, mark, tops, find_peaks(mark, distance, mark_least), reach)] = 1
+        flags["bullish_divergence"][diverging(-low, -mark, bottoms, find_peaks(-mark, distance, mark_least), reach)] = 1
         return frame.assign(**flags)
 
     return bars.groupBy(*keys).applyInPandas(run, schema)
 
 
 def profile(low: np.ndarray, high: np.ndarray, volume: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of equal bins from the least low to the greatest high, and volume per bin; a bar's volume is spread evenly over its range."""
+    """Edges of equal bins from the least low to the greatest high, and volume per bin; a bar's volume is spread evenly over its range.
+
+    Volumes are rounded to nine digits, so bins that tie do so whatever the order of the sums.
+    """
     a, b = low.min(), high.max()
     if b <= a:
         return np.array([a, b]), np.array([volume.sum()])
@@ -87,7 +101,7 @@ def profile(low: np.ndarray, high: np.ndarray, volume: np.ndarray, bins: int) ->
     weight = np.divide(shared, (high - low)[:, None], out=np.zeros_like(shared), where=~flat[:, None])
     own = np.minimum(((low - a) / (b - a) * bins).astype(int), bins - 1)
     weight[flat, own[flat]] = 1.0
-    return edges, volume @ weight
+    return edges, np.round(volume @ weight, 9)
 
 
 def value_area(edges: np.ndarray, volume: np.ndarray, outward: bool, share: float = 0.7) -> tuple[float, float, float]:
@@ -98,12 +112,14 @@ def value_area(edges: np.ndarray, volume: np.ndarray, outward: bool, share: floa
     if outward:
         a = b = poc
         total = volume[poc]
-        while total < goal and (a > 0 or b < len(volume) - 1):
-            down, up = (volume[a - 1] if a > 0 else -1.0), (volume[b + 1] if b < len(volume) - 1 else -1.0)
+        while total < goal:
+            down, up = (volume[a - 1] if a > 0 else 0.0), (volume[b + 1] if b < len(volume) - 1 else 0.0)
+            if up == down == 0:  # empty on both sides: the area ends here
+                break
             if up >= down:
                 b += 1
                 total += up
-            else:
+            if down >= up:  # of equal neighbours both are taken
                 a -= 1
                 total += down
     else:

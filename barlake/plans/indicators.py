@@ -159,7 +159,7 @@ def _profile_sql(n: int, bins: int, least: int, outward: bool) -> str:
     """Bins of each bar's window as lists; the value area by a fold over the list."""
     base = f"""WITH RECURSIVE {HOURLY[5:]}, {_RN}, p AS (SELECT a.symbol, a.ts, a.rn, min(b.low) AS lo, max(b.high) AS hi FROM k a JOIN k b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - {n - 1} AND a.rn WHERE a.rn >= {least} GROUP BY 1, 2, 3),
   g AS (SELECT p.*, i, lo + (hi - lo) * i / {bins}.0 AS e0, lo + (hi - lo) * (i + 1) / {bins}.0 AS e1 FROM p, range({bins}) r(i)),
-  v AS (SELECT g.symbol, g.ts, g.i, min(e0) AS e0, min(e1) AS e1, sum(b.volume * CASE WHEN b.high > b.low THEN greatest(least(b.high, e1) - greatest(b.low, e0), 0) / (b.high - b.low) ELSE CAST(g.i = least(CAST(floor((b.low - lo) / (hi - lo) * {bins}) AS BIGINT), {bins - 1}) AS INTEGER) END) AS v
+  v AS (SELECT g.symbol, g.ts, g.i, min(e0) AS e0, min(e1) AS e1, round(sum(b.volume * CASE WHEN b.high > b.low THEN greatest(least(b.high, e1) - greatest(b.low, e0), 0) / (b.high - b.low) ELSE CAST(g.i = least(CAST(floor((b.low - lo) / (hi - lo) * {bins}) AS BIGINT), {bins - 1}) AS INTEGER) END), 9) AS v
     FROM g JOIN k b ON g.symbol = b.symbol AND b.rn BETWEEN g.rn - {n - 1} AND g.rn GROUP BY 1, 2, 3),
   t AS (SELECT *, sum(v) OVER (PARTITION BY symbol, ts) AS total FROM v)"""
     if not outward:
@@ -168,7 +168,7 @@ def _profile_sql(n: int, bins: int, least: int, outward: bool) -> str:
     else:
         body = f""", l AS (SELECT symbol, ts, list(v ORDER BY i) AS vs, list(e0 ORDER BY i) AS es, max(e1) AS top, min(total) AS total, arg_min(i, (-v, i)) AS poc FROM t GROUP BY 1, 2),
   w AS (SELECT symbol, ts, poc AS a, poc AS b, vs[poc + 1] AS s FROM l UNION ALL
-    SELECT w.symbol, w.ts, CASE WHEN up >= dn THEN a ELSE a - 1 END, CASE WHEN up >= dn THEN b + 1 ELSE b END, s + greatest(up, dn) FROM (SELECT w.*, l.total, CASE WHEN a > 0 THEN vs[a] ELSE -1 END AS dn, CASE WHEN b < {bins - 1} THEN vs[b + 2] ELSE -1 END AS up FROM w JOIN l USING (symbol, ts)) w WHERE s < 0.7 * total AND (a > 0 OR b < {bins - 1})),
+    SELECT w.symbol, w.ts, a - CAST(dn >= up AS INTEGER), b + CAST(up >= dn AS INTEGER), s + CASE WHEN up = dn THEN up + dn ELSE greatest(up, dn) END FROM (SELECT w.*, l.total, CASE WHEN a > 0 THEN vs[a] ELSE 0 END AS dn, CASE WHEN b < {bins - 1} THEN vs[b + 2] ELSE 0 END AS up FROM w JOIN l USING (symbol, ts)) w WHERE s < 0.7 * total AND (up > 0 OR dn > 0)),
   f AS (SELECT symbol, ts, min(a) AS a, max(b) AS b FROM w GROUP BY 1, 2),
   z AS (SELECT l.symbol, l.ts, (es[poc + 1] + CASE WHEN poc + 2 > {bins} THEN top ELSE es[poc + 2] END) / 2 AS poc, es[f.a + 1] AS val, CASE WHEN f.b + 2 > {bins} THEN top ELSE es[f.b + 2] END AS vah FROM l JOIN f USING (symbol, ts))"""
     return base + body + f" SELECT k.symbol, k.ts, {r6('poc', f'vp_poc_{n}w_{bins}b')}, {r6('val', f'vp_val_{n}w_{bins}b')}, {r6('vah', f'vp_vah_{n}w_{bins}b')} FROM k LEFT JOIN z USING (symbol, ts)"
@@ -176,6 +176,9 @@ def _profile_sql(n: int, bins: int, least: int, outward: bool) -> str:
 
 _vp = lambda n, b: [f"vp_{x}_{n}w_{b}b" for x in ("poc", "val", "vah")]
 query("volume_profile_a_D41", _profile_sql(50, 20, 50, True))(lambda s, d: shape.volume_profile(hourly(s, d), 50, 20).select(*KEY, *_vp(50, 20)))
+for _n in (50, 100):
+    for _b in (50, 100):
+        query(f"volume_profile_a_{_n}w_{_b}b_D41", _profile_sql(_n, _b, _n, True))(lambda s, d, n=_n, b=_b: shape.volume_profile(hourly(s, d), n, b).select(*KEY, *_vp(n, b)))
 query("volume_profile_b_D42", _profile_sql(50, 20, 25, False))(lambda s, d: shape.volume_profile(hourly(s, d), 50, 20, outward=False, least=25).select(*KEY, *_vp(50, 20)))
 
 # --- documented extras
