@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import finite, ratio
+from ..functions.slices import SLICE, lookup, numbered, sliced
 from ..sources.ticks import taker_side
 
 TICK_ORDER = ("timestamp", "trade_id")
@@ -127,47 +128,131 @@ def merge_partial_bars(parts: DataFrame, order: str = "part") -> DataFrame:
 # --- activity bars
 
 
-def assign_by_threshold(rows: DataFrame, amount: str, threshold: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+class _Series:
+    """Rows of one series or slice after the other, as batches stream by."""
+
+    def __init__(self, names: Sequence[str], amount: str):
+        self.names, self.amount = names, amount
+
+    def parts(self, batch: pa.RecordBatch):
+        """Key, first and last row, and amounts of each run of equal keys in a batch."""
+        columns = [batch.column(batch.schema.names.index(k)) for k in self.names]
+        value = np.asarray(batch.column(batch.schema.names.index(self.amount)).fill_null(0), np.int64)
+        if not len(value):
+            return
+        new = np.zeros(len(value), bool)
+        for c in columns:
+            codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(new).tolist()
+        for a, b in zip([0, *starts], [*starts, len(value)], strict=True):
+            yield tuple(c[a].as_py() for c in columns), a, b, value[a:b]
+
+
+def closes(sums: np.ndarray, total: int, threshold: int) -> list[int]:
+    """Rows at which bars close, from the running sums of amounts and what the open bar has before them."""
+    out, base, at = [], -total, 0
+    while at < len(sums):
+        at = max(at, int(np.searchsorted(sums, base + threshold, "left")))
+        if at < len(sums):
+            out.append(at)
+            base, at = int(sums[at]), at + 1
+    return out
+
+
+def exits(sums: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a slice does to an open bar: for each row that can close it first, the sum at that row, what the last bar has at the end, and the bars closed.
+
+    Only rows before the slice's own sum reaches the threshold can be first, so
+    there are about as many as a bar has rows.
+    """
+    first = np.arange(int(np.searchsorted(sums, threshold, "left")) + 1) if len(sums) else np.zeros(0, int)
+    first = first[first < len(sums)]
+    at, count = first.copy(), np.ones(len(first), np.int64)
+    live = np.arange(len(first))
+    while len(live):
+        onward = np.maximum(np.searchsorted(sums, sums[at[live]] + threshold, "left"), at[live] + 1)
+        go = onward < len(sums)
+        live, onward = live[go], onward[go]
+        at[live] = onward
+        count[live] += 1
+    return sums[first], (sums[-1] - sums[at]) if len(first) else np.zeros(0, np.int64), count
+
+
+def assign_by_threshold(rows: DataFrame, amount: str, threshold: int, keys: Sequence[str], order: Sequence[str], slice_rows: int | None = None) -> DataFrame:
     """Add ``bar_id``: a bar closes with the row at which its own sum reaches ``threshold``, and the next starts at zero.
 
-    ``amount`` is a whole number, so sums are exact.  A bar's start depends on
-    where the one before ended, so a series is walked in order: partitions are
-    sorted by series, and Arrow batches stream through with one number of state.
-    Within a batch each close is found by a binary search in the running sum.
-    Series run in parallel, and none is gathered in memory.
+    ``amount`` is a whole number, not negative, so sums are exact.  A bar's start
+    depends on where the one before ended, yet a series isn't one task's work: it
+    is cut into slices, each of which says in parallel what it does to the bar
+    that is open where it starts (``exits``); a walk over the slices then finds
+    what is open at each start, and every slice is divided by itself.  Arrow
+    batches stream through; a task holds the amounts of a slice at most.
     """
-    names = [*keys, *order, amount]
-    extra = [c for c in rows.columns if c not in names]
-    arranged = rows.select(*names, *extra).repartition(*keys).sortWithinPartitions(*keys, *order)
+    cut, columns = sliced(rows, keys, order, slice_rows), rows.columns
+    group = [*keys, SLICE]
+    dealt = lambda df: df.repartition(*group).sortWithinPartitions(*group, *order)
+    key_types = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+
+    def effects(batches):
+        reader, last, held = _Series(group, amount), None, []
+
+        def done():
+            sums = np.cumsum(np.concatenate(held))
+            at, left, count = exits(sums, threshold)
+            fields = [[v] for v in last] + [[int(sums[-1])], [at], [left], [count]]
+            return pa.RecordBatch.from_arrays([pa.array(f, type=t) for f, t in zip(fields, [*kinds, pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3], strict=True)], names=[*group, "total", "at", "left", "bars"])
+
+        kinds: list[pa.DataType] = []
+        for b in batches:
+            kinds = kinds or [b.schema.field(k).type for k in keys]
+            for key, _, _, value in reader.parts(b):
+                if key != last and held:
+                    yield done()
+                    held = []
+                last = key
+                held.append(value)
+        if held:
+            yield done()
+
+    def walk(batches):
+        last, open_, bar = None, 0, 0
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                key = tuple(r[k] for k in keys)
+                if key != last:
+                    last, open_, bar = key, 0, 0
+                out.append({**{k: r[k] for k in group}, "__open": open_, "__bar": bar})
+                i = int(np.searchsorted(r["at"], threshold - open_, "left"))
+                if open_ + r["total"] >= threshold and i < len(r["at"]):
+                    open_, bar = r["left"][i], bar + r["bars"][i]
+                else:
+                    open_ += r["total"]
+            fields = [*[b.schema.field(k) for k in group], pa.field("__open", pa.int64()), pa.field("__bar", pa.int64())]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
+
+    comma = ", " if keys else ""
+    found = dealt(cut.select(*group, *[c for c in order if c not in group], amount)).mapInArrow(effects, f"{key_types}{comma}{SLICE} long, total long, at array<long>, left array<long>, bars array<long>")
+    walked = (found.repartition(*keys) if keys else found.coalesce(1)).sortWithinPartitions(*group)  # a row for each slice
+    starts = walked.mapInArrow(walk, f"{key_types}{comma}{SLICE} long, __open long, __bar long")
 
     def run(batches):
-        last, total, bar = None, 0, 0
+        reader, last, open_, bar = _Series(group, amount), None, 0, 0
         for b in batches:
-            by = list(zip(*[b.column(k).to_pylist() for k in keys], strict=True))
-            value = np.asarray(b.column(amount).fill_null(0), np.int64)
-            ids = np.zeros(len(value), np.int64)
-            cuts = [0, *[i for i in range(1, len(by)) if by[i] != by[i - 1]], len(by)]
-            for a, e in zip(cuts, cuts[1:], strict=False):
-                if a == e:
-                    continue
-                if by[a] != last:
-                    last, total, bar = by[a], 0, 0
-                sums = np.cumsum(value[a:e])
-                at, base = 0, -total
-                while at < e - a:
-                    close = int(np.searchsorted(sums, base + threshold, "left"))
-                    if close < at:
-                        close = at
-                    end = min(close, e - a - 1)
-                    ids[a + at : a + end + 1] = bar
-                    if close < e - a:
-                        bar, base = bar + 1, int(sums[close])
-                    at = end + 1
-                total = int(sums[-1]) - base
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids)], names=[*b.schema.names, "bar_id"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in arranged.dtypes) + ", bar_id bigint"
-    return arranged.mapInArrow(run, schema)
+            ids = np.zeros(b.num_rows, np.int64)
+            for key, a, e, value in reader.parts(b):
+                if key != last:
+                    last, open_, bar = key, *(b.column(b.schema.names.index(c))[a].as_py() for c in ("__open", "__bar"))
+                sums = np.cumsum(value)
+                ends = np.array(closes(sums, open_, threshold), np.int64)
+                ids[a:e] = bar + np.searchsorted(ends, np.arange(e - a), "left")
+                bar += len(ends)
+                open_ = int(sums[-1] - sums[ends[-1]]) if len(ends) else open_ + int(sums[-1])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index(c)) for c in columns] + [pa.array(ids)], names=[*columns, "bar_id"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", bar_id bigint"
+    return dealt(lookup(cut, starts, group)).mapInArrow(run, schema)
 
 
 def activity_bars(ticks: DataFrame, threshold: int, amount: str = "quote_cents", keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -205,8 +290,7 @@ def activity_bars(ticks: DataFrame, threshold: int, amount: str = "quote_cents",
 
 def tick_bars(ticks: DataFrame, n: int) -> DataFrame:
     """Bars of ``n`` ticks each; the last may have fewer."""
-    order = Window.partitionBy("symbol").orderBy(*TICK_ORDER)
-    return ticks.withColumn("bar_id", F.floor((F.row_number().over(order) - 1) / n)).groupBy("symbol", "bar_id").agg(*ohlcv())
+    return numbered(ticks, ["symbol"], TICK_ORDER, "__at").withColumn("bar_id", F.floor(F.col("__at") / n)).groupBy("symbol", "bar_id").agg(*ohlcv())
 
 
 # --- bars of bars
@@ -225,7 +309,7 @@ def _merged(grouped: DataFrame, group: list[str], size: int | None) -> DataFrame
         F.sum(v).alias("volume"), F.sum(dv).alias("dollar_volume"), F.sum("num_ticks").alias("num_ticks"), F.count("*").alias("constituent_bar_count"),
         F.sum("trade_imbalance").alias("trade_imbalance"), ratio(F.sum(F.col("trade_imbalance") * v), F.sum(v)).alias("trade_imbalance_norm"),
         F.sqrt(ratio(F.sum(F.pow("intra_bar_tick_price_volatility", F.lit(2)) * dv), F.sum(dv))).alias("intra_bar_tick_price_volatility"),
-        F.coalesce(F.sum(r * v / (1 + r)), F.lit(0.0)).alias("b"), F.coalesce(F.sum(v / (1 + r)), F.lit(0.0)).alias("s"),
+        F.coalesce(F.sum(r * dv / (1 + r)), F.lit(0.0)).alias("b"), F.coalesce(F.sum(dv / (1 + r)), F.lit(0.0)).alias("s"),
         ratio(F.sum(F.col("tick_price_skewness") * dv), F.sum(dv)).alias("tick_price_skewness"), ratio(F.sum(F.col("tick_price_kurtosis") * dv), F.sum(dv)).alias("tick_price_kurtosis"),
         (F.sum("num_directional_changes") + F.sum("flip")).alias("num_directional_changes"),
     )
@@ -238,9 +322,8 @@ def _merged(grouped: DataFrame, group: list[str], size: int | None) -> DataFrame
 
 def merge_by_count(bars: DataFrame, n: int) -> DataFrame:
     """Every ``n`` bars in a row become one; a last group with fewer goes."""
-    order = Window.partitionBy("symbol").orderBy("bar_id")
-    numbered = bars.withColumns({"seq": F.col("bar_id"), "bar_id": F.floor((F.row_number().over(order) - 1) / n)})
-    return _merged(numbered, ["symbol", "bar_id"], n)
+    counted = numbered(bars, ["symbol"], ["bar_id"], "__at").withColumns({"seq": F.col("bar_id"), "bar_id": F.floor(F.col("__at") / n)}).drop("__at")
+    return _merged(counted, ["symbol", "bar_id"], n)
 
 
 def merge_by_amount(bars: DataFrame, threshold: int, amount: str = "bar_amount") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import ratio, series
+from ..functions.slices import lookup, numbered, running_sum
 
 SPLIT = "split"
 
@@ -23,12 +24,12 @@ def forward_fill(df: DataFrame, columns: Sequence[str], *, keys=("symbol",), ord
 
 def chronological_split(df: DataFrame, *, order: Sequence[str], test: float = 0.2, validation: float = 0.15, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``split``: the last share of rows is the test, the last share of the rest the validation; whole numbers are cut down."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    at = F.row_number().over(w) - 1
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    n, at = F.col("__n"), F.col("__at")
     first_test = F.floor(n * (1 - test) + 1e-9)
     first_validation = F.floor(first_test * (1 - validation) + 1e-9)
-    return df.withColumn(SPLIT, F.when(at < first_validation, "train").when(at < first_test, "validation").otherwise("test"))
+    placed = lookup(numbered(df, keys, order, "__at"), counts, keys)
+    return placed.withColumn(SPLIT, F.when(at < first_validation, "train").when(at < first_test, "validation").otherwise("test")).drop("__at", "__n")
 
 
 def _fitted(df: DataFrame, columns: Sequence[str], statistics: dict[str, callable], leaky: bool) -> DataFrame:
@@ -121,7 +122,9 @@ def sequences(df: DataFrame, features: Sequence[str], length: int, *, label: str
 def batches(df: DataFrame, size: int, *, order: Sequence[str], shuffle_seed: int | None = None, keys=("symbol",)) -> DataFrame:
     """Add ``batch``: rows numbered within their series, in order or in a seeded order."""
     by = order if shuffle_seed is None else [F.xxhash64(F.lit(shuffle_seed), *order), *order]
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1) / size))
+    if shuffle_seed is not None:
+        df, by = df.withColumn("__by", by[0]), ["__by", *order]
+    return numbered(df, keys, by, "batch").withColumn("batch", F.floor(F.col("batch") / size)).drop("__by")
 
 
 def last_rows(df: DataFrame, n: int, *, keys=("symbol",), order=("ts",)) -> DataFrame:
@@ -165,8 +168,7 @@ def best_threshold(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def roc_auc(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Area under the ROC curve by mean ranks; ties are counted per distinct score, so the sorted side is the scores, not the rows."""
     by_score = scored.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by_score.withColumn("below", below).agg(ratio(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+    return running_sum(by_score, [], ["p"], F.col("neg"), "below").agg(ratio(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def losses(scored: DataFrame, gamma: float = 2.0, alpha: float = 0.25, y: str = "y", p: str = "p") -> DataFrame:

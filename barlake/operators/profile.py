@@ -39,7 +39,8 @@ def univariate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows and share of every value, NULL included."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = df.agg(F.count("*").alias("__rows"))  # one row
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__rows")).drop("__rows")
 
 
 def missing(df: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def _count_sql(n: int, columns: str) -> str:
     return f"""{_SHORT}, g AS (SELECT *, CAST(n // {n} AS BIGINT) AS bar_id, (close - open) / (close + open) AS h, CASE WHEN num_ticks % 5 <> 0 THEN num_ticks / 3.0 END AS r, sign(close - open) AS sg FROM k),
   f AS (SELECT *, CASE WHEN sg <> 0 AND lag(sg) OVER o <> 0 AND sg <> lag(sg) OVER o THEN 1 ELSE 0 END AS flip FROM g WINDOW o AS (PARTITION BY symbol, bar_id ORDER BY ts)),
   m AS (SELECT symbol, bar_id, min(ts) AS open_timestamp, max(ts) + INTERVAL '1 hour' AS close_timestamp, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume, sum(dollar_volume) AS dollar_volume, CAST(sum(num_ticks) AS BIGINT) AS num_ticks, count(*) AS constituent_bar_count,
-    sum(h) AS ti, sum(h * volume) AS tiv, sqrt(sum((abs(h) + 0.1) ** 2 * dollar_volume) / nullif(sum(dollar_volume), 0)) AS pv, coalesce(sum(r * volume / (1 + r)), 0) AS b, coalesce(sum(volume / (1 + r)), 0) AS s, sum(h * dollar_volume) / nullif(sum(dollar_volume), 0) AS sk,
+    sum(h) AS ti, sum(h * volume) AS tiv, sqrt(sum((abs(h) + 0.1) ** 2 * dollar_volume) / nullif(sum(dollar_volume), 0)) AS pv, coalesce(sum(r * dollar_volume / (1 + r)), 0) AS b, coalesce(sum(dollar_volume / (1 + r)), 0) AS s, sum(h * dollar_volume) / nullif(sum(dollar_volume), 0) AS sk,
     CAST(sum(num_ticks) + sum(flip) AS BIGINT) AS dc FROM f GROUP BY 1, 2 HAVING count(*) = {n})
   SELECT symbol, bar_id, {columns} FROM m"""
 

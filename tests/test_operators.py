@@ -51,6 +51,69 @@ def test_bars_follow_a_loop(spark, quotes):
     assert all(r.bar_amount >= 25 for r in got[:-1])
 
 
+def test_bars_do_not_depend_on_slices(spark):
+    """A series in slices of a few rows gives the bars of a loop; bars may be longer than slices, and series may have null names."""
+    rng = np.random.default_rng(3)
+    for threshold, largest in ((50, 30), (1000, 30), (10**9, 30), (1, 3), (7, 40)):
+        quotes = rng.integers(0, largest, 400)
+        t = make_ticks(spark, [1] * 400, quotes)
+        t = t.unionByName(t.withColumn("symbol", F.lit(None).cast("string"))).unionByName(t.withColumns({"symbol": F.lit("B"), "quote_cents": F.col("quote_cents") + 1}))
+        got = {(r.symbol, r.trade_id): r.bar_id for r in B.assign_by_threshold(t, "quote_cents", threshold, ["symbol"], B.TICK_ORDER, slice_rows=15).collect()}
+        for name, more in (("A", 0), (None, 0), ("B", 1)):
+            total, bar = 0, 0
+            for i, q in enumerate(quotes.tolist()):
+                assert got[name, i] == bar
+                total += q + more
+                if total >= threshold:
+                    total, bar = 0, bar + 1
+
+
+def test_numbers_and_sums_along_slices(spark):
+    from barlake.functions.slices import numbered, running_sum
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 50, 300).tolist()
+    df = spark.createDataFrame([(["a", "b", None][i % 3], v if i % 7 else None, i) for i, v in enumerate(x)], "k string, v int, i int")
+    rows = sorted(df.collect(), key=lambda r: (str(r.k), r.v is not None, r.v or 0, r.i))
+    at = {r.i: r.n for r in numbered(df, ["k"], ["v", "i"], "n", rows=10).collect()}
+    before = {r.i: r.n for r in running_sum(df, ["k"], ["v", "i"], F.col("i"), "n", rows=10).collect()}
+    for k in ("a", "b", None):
+        own = [r for r in rows if r.k == k]
+        assert [at[r.i] for r in own] == list(range(len(own))) and [before[r.i] for r in own] == [0, *np.cumsum([r.i for r in own])[:-1].tolist()]
+    assert sorted(r.n for r in numbered(df, [], ["v", "i"], "n", rows=10).collect()) == list(range(300))
+
+
+def test_pooled_taker_ratio_weighs_dollar_volume(spark):
+    """Two bars: 30 of 40 dollars bought, 10 of 60; pooled 40 to 60, whatever their base volumes."""
+    short = make_bars(spark, [1, 2]).select(
+        "symbol", F.hour("ts").cast("long").alias("bar_id"), F.col("ts").alias("open_timestamp"), F.col("ts").alias("close_timestamp"), "open", "high", "low", "close", F.when(F.hour("ts") == 0, 1000.0).otherwise(1.0).alias("volume"),
+        F.when(F.hour("ts") == 0, 40.0).otherwise(60.0).alias("dollar_volume"), F.lit(2).alias("num_ticks"), F.when(F.hour("ts") == 0, 3.0).otherwise(0.2).alias("taker_buy_sell_ratio"),
+        *[F.lit(0.5).alias(c) for c in ("trade_imbalance", "intra_bar_tick_price_volatility", "tick_price_skewness", "tick_price_kurtosis")], F.lit(1).alias("num_directional_changes"),
+    )
+    assert math.isclose(B.merge_by_count(short, 2).first().taker_buy_sell_ratio, 40 / 60)
+
+
+def test_value_area_ties_and_gaps():
+    """Equal neighbours are both taken, and the area ends where both are empty or at the edge."""
+    edges = np.arange(6.0)
+    assert shape.value_area(edges, np.array([0.0, 3, 5, 3, 0]), True) == (2.5, 1, 4)
+    assert shape.value_area(edges, np.array([9.0, 0, 10, 0, 9]), True) == (2.5, 2, 3)
+    assert shape.value_area(edges, np.array([4.0, 1, 2, 1, 4]), True) == (0.5, 0, 5)
+    assert shape.value_area(edges, np.array([0.0, 0, 5, 4, 3]), True) == (2.5, 2, 4)
+
+
+def test_divergences_by_hand():
+    """An earlier peak in reach counts though a higher one lies between; the indicator's peaks must differ and be near."""
+    price, mark = np.zeros(60), np.full(60, 50.0)
+    peaks = np.array([5, 15, 25])
+    price[peaks] = [10, 30, 20]
+    mark[[6, 15, 24]] = [80, 90, 70]
+    assert shape.diverging(price, mark, peaks, np.array([6, 15, 24]), 30) == [25]
+    assert shape.diverging(price, mark, peaks, np.array([6, 15, 24]), 15) == []
+    assert shape.diverging(price, mark, peaks, np.array([15]), 30) == [] == shape.diverging(price, mark, peaks, np.array([], int), 30)
+    assert shape.diverging(price, mark, peaks, np.array([6, 45]), 30) == []
+
+
 def test_changes_and_ratios(spark):
     r = B.activity_bars(make_ticks(spark, [1, 2, 2, 1, 1, 2], [1] * 6, [False] * 6), 100).first()
     assert (r.num_price_changes, r.num_directional_changes) == (3, 2) and math.isinf(r.taker_buy_sell_ratio) and r.trade_imbalance == 1
