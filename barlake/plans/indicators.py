@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.config import Feature, compute
 from ..functions.core import full as full_window
 from ..operators import finite as I
-from ..operators import patterns, recursive, shape
+from ..operators import recursive, shape
 from .base import BY, HOURLY, W, div, full, hourly, lag, lr, over, query, r6
 
 KEY = ("symbol", "ts")
@@ -127,31 +127,6 @@ query("regime_D28", _recursive_sql(", ".join([_STEP, _wilder_sql("p", "dp", 14,
 
 # --- shapes
 
-_C = f"""{HOURLY}, m AS (SELECT *, CASE WHEN count(*) OVER r = 10 THEN avg(abs(close - open)) OVER r END AS mb, CASE WHEN count(*) OVER r = 10 THEN avg(high - low) OVER r END AS mr FROM bars WINDOW r AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
-  c AS (SELECT *, abs(close - open) AS body, close >= open AS up, close < open AS down, greatest(open, close) AS top, least(open, close) AS bot, high - greatest(open, close) AS us, least(open, close) - low AS ls FROM m),
-  a AS (SELECT *, body > mb AS lg, body < mb AS sh, us < 0.1 * mr AS nu, ls < 0.1 * mr AS nl FROM c),
-  s AS (SELECT *, {', '.join(f"lag({x}, {k}) {BY} AS {x}{k}" for k in (1, 2) for x in ("open", "high", "low", "close", "up", "down", "top", "bot", "lg", "sh", "nu", "nl"))} FROM a)
-  SELECT symbol, ts, """
-
-
-def _sg(name: str, good: str, bad: str | None = None) -> str:
-    return f"CASE WHEN {good} THEN 100" + (f" WHEN {bad} THEN -100" if bad else "") + f" ELSE 0 END AS {name}"
-
-
-def _sb(name: str, bad: str) -> str:
-    return f"CASE WHEN {bad} THEN -100 ELSE 0 END AS {name}"
-
-
-query("candles_D38", _C + ", ".join([
-    _sg("cdl_doji", "body <= 0.1 * mr"), _sg("cdl_spinningtop", "sh AND us > body AND ls > body AND up", "sh AND us > body AND ls > body AND down"), _sg("cdl_marubozu", "lg AND nu AND nl AND up", "lg AND nu AND nl AND down"),
-    _sg("cdl_hammer", "sh AND ls > 2 * body AND nu AND bot <= low1 + 0.2 * mr"), _sb("cdl_shootingstar", "sh AND us > body AND nl AND bot > top1"),
-    _sg("cdl_engulfing", "up AND down1 AND close > open1 AND open < close1", "down AND up1 AND open > close1 AND close < open1"),
-    _sg("cdl_harami", "down1 AND lg1 AND sh AND top < top1 AND bot > bot1", "up1 AND lg1 AND sh AND top < top1 AND bot > bot1"),
-    _sg("cdl_piercing", "down1 AND lg1 AND up AND lg AND open < low1 AND close < open1 AND close > (open1 + close1) / 2"), _sb("cdl_darkcloudcover", "up1 AND lg1 AND down AND open > high1 AND close > open1 AND close < (open1 + close1) / 2"),
-    _sg("cdl_morningstar", "down2 AND lg2 AND sh1 AND top1 < bot2 AND up AND close > (open2 + close2) / 2"), _sb("cdl_eveningstar", "up2 AND lg2 AND sh1 AND bot1 > top2 AND down AND close < (open2 + close2) / 2"),
-    _sg("cdl_3whitesoldiers", "up AND up1 AND up2 AND close > close1 AND close1 > close2 AND open > open1 AND open <= close1 AND open1 > open2 AND open1 <= close2 AND nu AND nu1 AND nu2"),
-    _sb("cdl_3blackcrows", "down AND down1 AND down2 AND close < close1 AND close1 < close2 AND open < open1 AND open >= close1 AND open1 < open2 AND open1 >= close2 AND nl AND nl1 AND nl2"),
-]) + " FROM s")(lambda s, d: patterns.candles(hourly(s, d), W()).drop("open", "high", "low", "close", "volume", "dollar_volume", "num_ticks"))
 query("peaks_divergence_D39_D40")(lambda s, d: shape.divergences(hourly(s, d)).select(*KEY, "is_high_peak", "is_low_peak", "bearish_divergence", "bullish_divergence"))
 
 
