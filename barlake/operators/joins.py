@@ -44,6 +44,14 @@ def consolidate(inputs: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(keys), "full_outer"), [suffixed(df, f"_{n}", keys) for n, df in inputs.items()])
 
 
+def concat_columns(inputs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Tables of one series side by side on their keys, all keys of any; columns keep their names, which must differ."""
+    names = [c for df in inputs for c in df.columns if c not in keys]
+    if len(set(names)) < len(names):
+        raise ValueError("columns repeat")
+    return reduce(lambda a, b: a.join(b, list(keys), "full_outer"), inputs)
+
+
 def select_matching(df: DataFrame, *, prefix: Sequence[str] = (), suffix: Sequence[str] = (), contains: Sequence[str] = ()) -> DataFrame:
     """Columns whose names match; repeated names once."""
     named = [c for c in dict.fromkeys(df.columns) if c.startswith(tuple(prefix) or ("\0",)) or c.endswith(tuple(suffix) or ("\0",)) or any(x in c for x in contains)]

@@ -55,15 +55,20 @@ def clip(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float =
 
 def scale(df: DataFrame, columns: Sequence[str], kind: str = "standard") -> DataFrame:
     """``standard`` (population deviation), ``minmax``, ``robust`` (median and quartiles), ``none``; a zero scale counts as 1."""
+    centre, width = scalers(kind)
+    fitted = _fitted(df, columns, {"c": centre, "w": width}, False)
+    return _apply(df, fitted, {c: (F.col(c) - F.col(f"__c_{c}")) / F.when(F.col(f"__w_{c}") > 0, F.col(f"__w_{c}")).otherwise(1.0) for c in columns})
+
+
+def scalers(kind: str) -> tuple:
+    """Aggregates of the centre and of the width of a linear scaler."""
     kinds = {
         "standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c)),
         "robust": (F.median, lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))), "none": (lambda c: F.lit(0.0), lambda c: F.lit(1.0)),
     }
     if kind not in kinds:
         raise KeyError(f"unknown scaler {kind!r}")
-    centre, width = kinds[kind]
-    fitted = _fitted(df, columns, {"c": centre, "w": width}, False)
-    return _apply(df, fitted, {c: (F.col(c) - F.col(f"__c_{c}")) / F.when(F.col(f"__w_{c}") > 0, F.col(f"__w_{c}")).otherwise(1.0) for c in columns})
+    return kinds[kind]
 
 
 #: Training quantiles that the quantile scaler keeps; their number doesn't grow with the input.
@@ -76,6 +81,11 @@ def scale_quantile(df: DataFrame, column: str, *, normal: bool = False) -> DataF
     fitted = df.where(F.col(SPLIT) == "train").agg(F.percentile(F.col(column).cast("double"), points).alias("__q"))
     row = fitted.first()
     marks = np.array(row["__q"] if row and row["__q"] else [0.0])
+    return df.withColumn(column, quantile_position(F.col(column).cast("double"), marks, normal))
+
+
+def quantile_position(value: Column, marks: np.ndarray, normal: bool) -> Column:
+    """Where a value lies among marks, from 0 to 1."""
 
     @F.pandas_udf("double")
     def position(x: pd.Series) -> pd.Series:
@@ -87,7 +97,7 @@ def scale_quantile(df: DataFrame, column: str, *, normal: bool = False) -> DataF
             return pd.Series([inverse(min(max(v, 1e-7), 1 - 1e-7)) if v == v else None for v in p])
         return pd.Series(p)
 
-    return df.withColumn(column, position(F.col(column).cast("double")))
+    return position(value)
 
 
 def yeo_johnson(x: Column, power: float) -> Column:
@@ -97,18 +107,25 @@ def yeo_johnson(x: Column, power: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def scale_power(df: DataFrame, column: str, powers: Sequence[float] = tuple(i / 10 for i in range(-20, 41))) -> DataFrame:
+#: Powers that the power scaler tries.
+POWERS = tuple(i / 10 for i in range(-20, 41))
+
+
+def scale_power(df: DataFrame, column: str, powers: Sequence[float] = POWERS) -> DataFrame:
     """Power transform with the most likely of the given powers on the training rows, then standardised."""
+    best = likeliest_power(df.where(F.col(SPLIT) == "train"), column, powers)
+    return scale(df.withColumn(column, yeo_johnson(F.col(column).cast("double"), best)), [column])
+
+
+def likeliest_power(train: DataFrame, column: str, powers: Sequence[float] = POWERS) -> float:
     x = F.col(column).cast("double")
-    train = df.where(F.col(SPLIT) == "train")
     row = train.agg(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"), F.count(x).alias("n"), *[F.var_pop(yeo_johnson(x, p)).alias(f"v{i}") for i, p in enumerate(powers)]).first()
 
     def likelihood(i):
         v = row[f"v{i}"]
         return -row["n"] / 2 * math.log(v) + (powers[i] - 1) * row["s"] if v and v > 0 and math.isfinite(v) else -math.inf
 
-    best = powers[max(range(len(powers)), key=likelihood)]
-    return scale(df.withColumn(column, yeo_johnson(x, best)), [column])
+    return powers[max(range(len(powers)), key=likelihood)]
 
 
 def sequences(df: DataFrame, features: Sequence[str], length: int, *, label: str | None = None, keys=("symbol",), order=("ts",)) -> DataFrame:
@@ -189,6 +206,65 @@ def isotonic(fit: DataFrame, apply: DataFrame, y: str = "y", p: str = "p") -> Da
     return model.transform(v.transform(apply)).drop("__f").withColumn("calibrated", F.least(F.greatest("calibrated", F.lit(0.0)), F.lit(1.0)))
 
 
+#: What a fitted scaler keeps of a column, by kind.
+FITTED = "column string, kind string, numbers array<double>"
+
+
+def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard") -> DataFrame:
+    """Parameters of a scaler from the training rows, a row per column: centre and width, or training quantiles, or power, centre and width.
+
+    The table can be written and read again, and applied to other data.
+    """
+    rows = df.where(F.col(SPLIT) == "train")
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    if kind == "quantile":
+        points = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
+        numbers = {c: F.percentile(v, points) for c, v in x.items()}
+    elif kind == "power":
+        best = {c: likeliest_power(rows, c) for c in columns}
+        moved = {c: yeo_johnson(v, best[c]) for c, v in x.items()}
+        numbers = {c: F.array(F.lit(best[c]), F.avg(v), F.stddev_pop(v)) for c, v in moved.items()}
+    else:
+        centre, width = scalers(kind)
+        numbers = {c: F.array(centre(v).cast("double"), width(v).cast("double")) for c, v in x.items()}
+    one = rows.agg(*[v.alias(f"{i}") for i, v in enumerate(numbers.values())])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col(f"`{i}`").alias("numbers")) for i, c in enumerate(numbers)])).alias("x")).select("x.*")
+
+
+def apply_scaler(df: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Scale the columns that ``fitted`` names; a column without training values, or a zero width, isn't changed in scale."""
+    change = {}
+    for r in fitted.collect():  # a row per column
+        c, n = F.col(f"`{r['column']}`").cast("double"), r["numbers"]
+        if r["kind"] == "quantile":
+            change[r["column"]] = quantile_position(c, np.array(n or [0.0]), False)
+            continue
+        if r["kind"] == "power":
+            c, n = yeo_johnson(c, n[0]), n[1:]
+        centre, width = (v if v is not None else d for v, d in zip(n, (0.0, 1.0), strict=True))
+        change[r["column"]] = (c - centre) / (width if width > 0 else 1.0)
+    return df.withColumns(change)
+
+
+def select_features(df: DataFrame, *, names: Sequence[str] | None = None, kinds: Sequence[str] | None = None, always: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """The columns of a list, or of the given kinds (``feature_kinds``), besides those that always stay; and the names that are missing.
+
+    A list without any column that is there is an error, as are unknown kinds.
+    """
+    if (names is None) == (kinds is None):
+        raise ValueError("give either names or kinds")
+    grouped = feature_kinds([c for c in df.columns if c not in always])
+    if kinds is not None:
+        if unknown := [k for k in kinds if k not in grouped]:
+            raise KeyError(f"unknown kinds {unknown}")
+        names = [c for k in kinds for c in grouped[k]]
+    wanted = list(dict.fromkeys(names))
+    there = [c for c in wanted if c in df.columns and c not in always]
+    if not there:
+        raise ValueError("no column of the list is there")
+    return df.select(*[F.col(f"`{c}`") for c in (*always, *there)]), [c for c in wanted if c not in df.columns]
+
+
 def feature_kinds(columns: Sequence[str]) -> dict[str, list[str]]:
     """Names by resolution, and those that scaling leaves alone."""
     out: dict[str, list[str]] = {"short": [], "medium": [], "long": [], "regime": [], "unscaled": []}

@@ -9,7 +9,7 @@ from ..functions.core import rounded
 from ..operators.finite import with_returns
 from ..operators.joins import asof_join
 from ..operators.labels import fixed_percent
-from . import analysis, bars, candles, indicators, streams  # noqa: F401  modules register their queries
+from . import analysis, bars, candles, indicators, streams, tables  # noqa: F401  modules register their queries
 from .base import QUERIES, SQL, W, hourly
 
 

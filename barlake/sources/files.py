@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import TICK_RAW
 
@@ -40,6 +44,63 @@ def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
     return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in TICK_RAW], "file")
 
 
+def first_rows(df: DataFrame, order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows in an order, by top-k."""
+    return df.orderBy(*order).limit(k)
+
+
+def month_files(spark: SparkSession, path: str, pattern: str = r"([A-Za-z0-9]+)_(\d{4})_(\d{2})\.parquet") -> DataFrame:
+    """Monthly files under a folder: ``symbol``, ``year``, ``month`` of the name, and ``path``, in that order; other files are left out."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    named = listed.select(*[F.regexp_extract("path", pattern, k).alias(n) for k, n in ((1, "symbol"), (2, "year"), (3, "month"))], F.regexp_extract("path", f"^(.*{pattern})", 1).alias("path"))
+    found = named.where("symbol != ''").select("symbol", F.col("year").cast("int"), F.col("month").cast("int"), "path").distinct()
+    return found.orderBy("symbol", "year", "month")
+
+
+def footer_report(spark: SparkSession, paths: list[str], expected: StructType) -> DataFrame:
+    """For each Parquet file or folder its rows, and the columns that are missing, extra or of another type, from its footers."""
+    want = {f.name: f.dataType.simpleString() for f in expected}
+    rows = []
+    for path in paths:  # one listing of months; footers only
+        df = spark.read.parquet(path)
+        have = dict(df.dtypes)
+        rows.append((path, df.count(), [n for n in want if n not in have], [n for n in have if n not in want], [n for n in want if n in have and have[n] != want[n]]))
+    return spark.createDataFrame(rows, "path string, rows long, missing array<string>, extra array<string>, wrong_type array<string>")
+
+
+def write_chunks(chunks: Iterable[DataFrame], path: str) -> None:
+    """Append table after table; the first one's columns and types hold for all, absent columns are NULL."""
+    schema = None
+    for chunk in chunks:
+        if schema is None:
+            schema = chunk.schema
+        fitted = chunk.select(*[(F.col(f"`{f.name}`") if f.name in chunk.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        fitted.write.mode("overwrite" if schema is chunk.schema else "append").parquet(path)
+
+
+def write_single(df: DataFrame, path: str, aside: str) -> None:
+    """One Parquet file of that name, for tables that one task can write; an old one is replaced."""
+    df.coalesce(1).write.mode("overwrite").parquet(aside)
+    spark = df.sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(aside)) if s.getPath().getName().startswith("part-"))
+    fs.delete(to, True)
+    if not fs.rename(part, to):
+        raise OSError(f"can't move {part} to {path}")
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files between steps: under the folder that all executors share, or a local one in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="barlake-")
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def month_of_file(df: DataFrame, pattern: str = r"([A-Za-z0-9]+)_(\d{4})_(\d{2})\.parquet") -> DataFrame:
     """Add symbol, year and month that a file's name holds."""
     name = F.input_file_name()
@@ -82,6 +143,12 @@ def resume_from(df: DataFrame, year: int, month: int) -> DataFrame:
     return df.where((F.col("year") > year) | ((F.col("year") == year) & (F.col("month") >= month)))
 
 
+def rows_of_month(df: DataFrame, year: int, month: int, order: str = "timestamp") -> DataFrame:
+    """Rows from the first instant of a month to the last before the next one; what lies in front or behind is left out."""
+    first = F.make_timestamp_ntz(F.lit(year), F.lit(month), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return df.where((F.col(order) >= first) & (F.col(order) < F.add_months(first.cast("date"), 1).cast("timestamp_ntz")))
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Files and bytes per year in the file names."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
