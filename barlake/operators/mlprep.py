@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ratio, series
 from ..functions.slices import lookup, numbered, running_sum
+from .profile import quantiles
 
 SPLIT = "split"
 
@@ -44,13 +45,13 @@ def _apply(df: DataFrame, fitted: DataFrame, change: dict[str, Column]) -> DataF
 
 def impute_median(df: DataFrame, columns: Sequence[str], *, leaky: bool = False) -> DataFrame:
     """Missing values become the median, 0 without one."""
-    fitted = _fitted(df, columns, {"m": F.median}, leaky)
-    return _apply(df, fitted, {c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}"), F.lit(0.0)) for c in columns})
+    middle = quantiles(df if leaky else df.where(F.col(SPLIT) == "train"), columns, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c][0]).cast("double"), F.lit(0.0)) for c in columns})
 
 
 def clip(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    fitted = _fitted(df, columns, {"a": lambda c: F.percentile(c, F.lit(low)), "b": lambda c: F.percentile(c, F.lit(high))}, False)
-    return _apply(df, fitted, {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__a_{c}")), F.col(f"__b_{c}"))) for c in columns})
+    ends = quantiles(df.where(F.col(SPLIT) == "train"), columns, [low, high])
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(a).cast("double")), F.lit(b).cast("double"))) for c, (a, b) in ends.items()})
 
 
 def scale(df: DataFrame, columns: Sequence[str], kind: str = "standard") -> DataFrame:

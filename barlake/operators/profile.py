@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import finite, ratio, sample_kurtosis, sample_skew
@@ -21,18 +22,80 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
 
 
+#: Values up to which Spark's percentile, which holds the distinct ones in a task, is used; beyond, ranks are narrowed down.
+EXACT_ROWS = 5_000_000
+#: Bins of a narrowing pass.
+BINS = 1024
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], exact_rows: int | None = None) -> dict[str, list[float | None]]:
+    """Exact percentiles of each column, linear between ranks, by partial sums only.
+
+    Each rank has a bracket of values.  A pass counts the bracket's values in
+    ``BINS`` bins and goes on with the one that holds the rank, until its values
+    are equal: a few scans whatever the rows, with at most ``BINS`` rows for each
+    rank to the driver.  Missing values and NaN don't count.
+    """
+    value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    ends = df.agg(*[f(value(c)).alias(f"{i}{n}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    n = {c: ends[f"{i}n"] for i, c in enumerate(columns)}
+    if max(n.values(), default=0) <= (EXACT_ROWS if exact_rows is None else exact_rows):
+        row = df.agg(*[F.percentile(value(c), F.array(*[F.lit(float(p)) for p in shares])).alias(f"{i}") for i, c in enumerate(columns)]).first()
+        return {c: list(row[f"{i}"]) if row[f"{i}"] else [None] * len(shares) for i, c in enumerate(columns)}
+    # rank: column, least and greatest value that it can have, values below
+    open_, found = {}, {}
+    for i, c in enumerate(columns):
+        for p in shares:
+            for k in {math.floor(p * (n[c] - 1) + 1e-9), math.ceil(p * (n[c] - 1) - 1e-9)} if n[c] else ():
+                open_[c, k] = (ends[f"{i}a"], ends[f"{i}b"], 0)
+    while True:
+        found |= {r: a for r, (a, b, _) in open_.items() if a == b}
+        open_ = {r: v for r, v in open_.items() if r not in found}
+        if not open_:
+            break
+        ranks = sorted(open_)
+        at = {c: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(open_[r][0])).alias("a"), F.lit(float(open_[r][1])).alias("b")) for t, r in enumerate(ranks) if r[0] == c]) for c in dict.fromkeys(c for c, _ in ranks)}
+        each = df.select(F.explode(F.array(*[F.struct(value(c).alias("v"), r.cast("array<struct<t:int,a:double,b:double>>").alias("r")) for c, r in at.items()])).alias("x")).select("x.*")
+        hit = each.select("v", F.explode(F.filter("r", lambda r: (r["a"] <= F.col("v")) & (F.col("v") <= r["b"]))).alias("r"))
+        place = F.least(F.floor((F.col("v") - F.col("r.a")) / (F.col("r.b") - F.col("r.a")) * BINS), F.lit(BINS - 1))
+        counts = hit.groupBy(F.col("r.t").alias("t"), place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        for t, r in enumerate(ranks):
+            below = open_[r][2]
+            for x in sorted((x for x in counts if x["t"] == t), key=lambda x: x["bin"]):
+                if r[1] < below + x["n"]:
+                    open_[r] = (x["a"], x["b"], below)
+                    break
+                below += x["n"]
+
+    def between(c, p):
+        pos = p * (n[c] - 1)
+        low, high = found[c, math.floor(pos + 1e-9)], found[c, math.ceil(pos - 1e-9)]
+        return low + (high - low) * max(0.0, pos - math.floor(pos + 1e-9))
+
+    return {c: [between(c, p) if n[c] else None for p in shares] for c in columns}
+
+
+def _named(columns: Sequence[str], values: dict[str, list[float | None]], at: int) -> Column:
+    """A column's value by its name."""
+    out = F.lit(None).cast("double")
+    for c in columns:
+        out = F.when(F.col("column") == c, F.lit(values[c][at]).cast("double")).otherwise(out)
+    return out
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, extremes and exact percentiles per column."""
-    q = F.percentile("value", F.array(*[F.lit(p) for p in PERCENTILES]))
-    out = _long(df, columns).groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"))
-    return out.select("column", "count", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(PERCENTILES)])
+    q = quantiles(df, columns, PERCENTILES)
+    out = _long(df, columns).groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return out.withColumns({f"p{int(p * 100):02d}": _named(columns, q, i) for i, p in enumerate(PERCENTILES)})
 
 
 def univariate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     n = F.count("value")
     v = F.col("value")
+    middle = quantiles(df, columns, [0.5])
     return _long(df, columns).groupBy("column").agg(
-        F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), finite(sample_skew(v, n)).alias("skew"), finite(sample_kurtosis(v, n)).alias("kurtosis"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.avg(v).alias("mean"), F.first(_named(columns, middle, 0)).alias("median"), F.stddev_samp(v).alias("std"), finite(sample_skew(v, n)).alias("skew"), finite(sample_kurtosis(v, n)).alias("kurtosis"), F.min(v).alias("min"), F.max(v).alias("max"),
     )
 
 
@@ -79,6 +142,9 @@ def strong_pairs(df: DataFrame, columns: Sequence[str], least: float) -> DataFra
     return correlations(df, columns).where(F.abs("rho") > least)
 
 
+BOUNDS = "column string, lower double, upper double"
+
+
 def _outliers(df: DataFrame, columns: Sequence[str], bounds: DataFrame) -> DataFrame:
     """Counts outside of each column's bounds (one row per column, broadcast)."""
     v = F.col("value")
@@ -91,12 +157,14 @@ def _outliers(df: DataFrame, columns: Sequence[str], bounds: DataFrame) -> DataF
 
 
 def outliers_iqr(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> DataFrame:
-    q = _long(df, columns).groupBy("column").agg(F.percentile("value", F.lit(0.25)).alias("a"), F.percentile("value", F.lit(0.75)).alias("b"))
-    return _outliers(df, columns, q.select("column", (F.col("a") - k * (F.col("b") - F.col("a"))).alias("lower"), (F.col("b") + k * (F.col("b") - F.col("a"))).alias("upper")))
+    q = quantiles(df, columns, [0.25, 0.75])
+    rows = [(c, None if a is None else a - k * (b - a), None if a is None else b + k * (b - a)) for c, (a, b) in q.items()]
+    return _outliers(df, columns, df.sparkSession.createDataFrame(rows, BOUNDS))
 
 
 def outliers_percentile(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    return _outliers(df, columns, _long(df, columns).groupBy("column").agg(F.percentile("value", F.lit(low)).alias("lower"), F.percentile("value", F.lit(high)).alias("upper")))
+    q = quantiles(df, columns, [low, high])
+    return _outliers(df, columns, df.sparkSession.createDataFrame([(c, *v) for c, v in q.items()], BOUNDS))
 
 
 def outliers_z(df: DataFrame, columns: Sequence[str], z: float = 3.0) -> DataFrame:

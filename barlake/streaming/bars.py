@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.bars import time_bars
+from ..sources.files import scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -145,14 +146,12 @@ def stream_indicators(bars: DataFrame, n: int = 14) -> DataFrame:
     return _stateful(bars, p, "symbol string, bar_id long, ema double, rsi double, atr double")
 
 
-def replay(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, into a table in memory, and return it."""
-    import tempfile
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
-
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def replay(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all that is there now, into files of the shared folder, and return them."""
+    spark, base = df.sparkSession, scratch(df.sparkSession)
+    query = (
+        df.writeStream.format("parquet").queryName(name).outputMode("append").option("path", f"{base}/{name}").option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True).start()
+    )
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{base}/{name}")

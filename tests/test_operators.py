@@ -268,6 +268,73 @@ def test_split_and_scores(spark):
         mlprep.scale(split, ["x"], "no_such")
 
 
+def test_quantiles_by_narrowing(spark):
+    """The passes over brackets give the percentiles that a sort gives."""
+    rng = np.random.default_rng(6)
+    x = {"a": rng.normal(size=3001), "b": rng.integers(0, 5, 3001).astype(float), "c": np.exp(30 * rng.normal(size=3001)), "d": np.full(3001, np.nan)}
+    x["a"][:40] = np.nan
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in row) for row in zip(*x.values())], "a double, b double, c double, d double")
+    shares = [0, 0.01, 0.25, 0.5, 0.777, 0.99, 1]
+    for rows in (0, 10**6):
+        got = profile.quantiles(df, list(x), shares, exact_rows=rows)
+        assert got["d"] == [None] * len(shares)
+        for c in ("a", "b", "c"):
+            assert np.allclose(got[c], np.nanquantile(x[c], shares), rtol=1e-12)
+
+
+def test_scalers_by_value(spark):
+    """Quantile and power scalers against a computation on the driver; and stored ones against those."""
+    rng = np.random.default_rng(7)
+    x = np.round(np.exp(rng.normal(size=400)) - 1, 3)
+    df = spark.createDataFrame([(i, float(v), "train" if i < 300 else "test") for i, v in enumerate(x)], "i int, x double, split string")
+    one = lambda d: np.array([r.x for r in d.orderBy("i").collect()])
+    marks = np.quantile(x[:300], np.linspace(0, 1, 1001))
+    grid = np.linspace(0, 1, 1001)
+    want = (np.interp(x, marks, grid) - np.interp(-x, -marks[::-1], -grid[::-1])) / 2
+    assert np.allclose(one(mlprep.scale_quantile(df, "x")), want, atol=1e-9)
+    turned = np.array([mlprep.NormalDist().inv_cdf(min(max(v, 1e-7), 1 - 1e-7)) for v in want])
+    assert np.allclose(one(mlprep.scale_quantile(df, "x", normal=True)), turned, atol=1e-6)
+
+    def power(v, p):
+        with np.errstate(all="ignore"):
+            return np.where(v >= 0, np.log1p(v) if p == 0 else ((v + 1) ** p - 1) / p, -np.log1p(-v) if p == 2 else -((1 - v) ** (2 - p) - 1) / (2 - p))
+
+    likelihood = [-150 * np.log(power(x[:300], p).var()) + (p - 1) * (np.sign(x[:300]) * np.log1p(np.abs(x[:300]))).sum() for p in mlprep.POWERS]
+    moved = power(x, mlprep.POWERS[int(np.argmax(likelihood))])
+    scaled = (moved - moved[:300].mean()) / moved[:300].std()
+    assert np.allclose(one(mlprep.scale_power(df, "x")), scaled, atol=1e-9)
+    for kind, value in (("quantile", want), ("power", scaled), ("robust", (x - np.median(x[:300])) / np.subtract(*np.quantile(x[:300], [0.75, 0.25])))):
+        assert np.allclose(one(mlprep.apply_scaler(df, mlprep.fit_scaler(df, ["x"], kind))), value, atol=1e-9)
+
+
+def test_isotonic_by_pooling(spark):
+    rng = np.random.default_rng(8)
+    p = np.round(rng.random(120), 2)
+    y = (rng.random(120) < p).astype(int)
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, y int")
+    got = {r.p: r.calibrated for r in mlprep.isotonic(rows, rows.select("p").distinct()).collect()}
+    blocks = []
+    for v in np.unique(p):
+        blocks.append([y[p == v].mean(), (p == v).sum(), [v]])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            b, a = blocks.pop(), blocks.pop()
+            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    for mean, _, values in blocks:
+        assert all(math.isclose(got[v], mean, abs_tol=1e-9) for v in values)
+
+
+def test_hilbert_of_a_pure_cycle():
+    """Of a sine of 20 bars the sine line follows the cycle, the lead sine runs 45 degrees ahead, and the trend line is flat."""
+    t = np.arange(400)
+    x = 100 + 5 * np.sin(2 * np.pi * t / 20)
+    trend, sine, lead = recursive.hilbert(x)
+    assert np.isnan(trend[:63]).all() and not np.isnan(trend[63:]).any()
+    late = slice(200, 400)
+    assert np.abs(trend[late] - 100).max() < 0.5 and np.corrcoef(sine[late], np.sin(2 * np.pi * t[late] / 20))[0, 1] > 0.9
+    phase = np.arctan2(np.sqrt(2) * lead[late] - sine[late], sine[late])
+    assert np.abs(np.abs(np.cos(phase)) ** 2 + np.abs(np.sin(phase)) ** 2 - 1).max() < 1e-9 and np.allclose((np.sqrt(2) * lead[late] - sine[late]) ** 2 + sine[late] ** 2, 1, atol=1e-9)
+
+
 def test_gaps_and_fill(spark):
     months = spark.createDataFrame([(2023, 11), (2024, 2)], "year int, month int")
     assert sorted((r.year, r.month) for r in profile.month_gaps(months).collect()) == [(2023, 12), (2024, 1)]
