@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, stash
+from .common import batched, discard, stash
 from .vectors import common_size, matrix, packed, unit, usable
 
 #: Queries whose true neighbours are found for the measurement, and candidates on which bucket sizes are estimated.
@@ -226,7 +226,10 @@ def neighbours(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_c
     if not short.isEmpty():
         # in blocks against all rows
         whole = short.unionByName(candidates).withColumns({"t": F.lit(-1), "bucket": F.lit(0).cast("long"), "axis": F.lit(-1)})
-        top = stash(top.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(searched(whole)))
+        first_top = top
+        top = stash(first_top.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(searched(whole)))
+        discard(first_top)
+    discard(candidates, short)
     answers = asked.withColumnRenamed("id", "query_id").join(reps.select("v", F.col("id").alias("q")), "v").drop("v").join(top, "q").where("id != query_id")
     ranked = Window.partitionBy("query_id").orderBy("score", "id")
     return answers.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

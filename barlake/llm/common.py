@@ -22,12 +22,14 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset and Spark runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         holder = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = holder.get() if holder.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="barlake-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -42,11 +44,27 @@ def batched(df: DataFrame) -> DataFrame:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    Tables lie in a folder of the application's name.  Those that nothing reads
+    any more are dropped by ``discard``; the rest can go when the application has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stash-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete the tables of ``stashed`` frames.  Only for what nothing reads any more: what was made of them must be written down."""
+    for df in stashed:
+        path = getattr(df, "_stash_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap_rows, maybe_in
-from .common import BROADCAST_ROWS, batched, stash
+from .common import BROADCAST_ROWS, batched, discard, stash
 from .components import connected_components
 from .shingles import joined, shingle_sets, slices
 
@@ -171,7 +171,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
     texts go together once, not once for each pair; a family of more than
     ``FAMILY`` texts goes in tiles, and small ones share a task.
     """
-    families = stash(connected_components(pairs))
+    families = connected_components(pairs)
     sizes = families.groupBy("component").agg(F.count("*").alias("size"))
     bins = max(1, -(-families.count() // FAMILY))
     small = -1 - F.pmod(F.xxhash64("component"), F.lit(bins))
@@ -218,7 +218,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy(*block).applyInArrow(compare, "a long, b long")
+    links = stash(rows.groupBy(*block).applyInArrow(compare, "a long, b long"))
+    discard(families, member, placed, wanted)
+    return links
 
 
 def _tree_pairs(trees: DataFrame, named: DataFrame, parts: DataFrame, every: bool, num: int, den: int) -> DataFrame:
@@ -281,7 +283,9 @@ def _tree_pairs(trees: DataFrame, named: DataFrame, parts: DataFrame, every: boo
         columns = zip(*sorted(out), strict=True) if out else ((), (), (), ())
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "ka", "kb"])
 
-    return spread.groupBy("large", "bin", "i", "j").applyInArrow(search, "a long, b long, ka long, kb long").distinct()
+    found = stash(spread.groupBy("large", "bin", "i", "j").applyInArrow(search, "a long, b long, ka long, kb long").distinct())
+    discard(chosen)
+    return found
 
 
 def jaccard_components(
@@ -339,16 +343,23 @@ def jaccard_components(
     b = named.select(F.col("key").alias("kb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("pb"))
     in_reach = (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
     star_pairs = stash(_possible(stars.select(F.col("key").alias("ka"), F.col("head").alias("kb")).join(a, "ka").join(b, "kb").where(in_reach), num, den))
-    links = stash(_verified(star_pairs, texts, shingle, num, den))
-    tried = star_pairs
+    discard(shared, postings, sets, planted)
+    links = _verified(star_pairs, texts, shingle, num, den)
+    tried, written = star_pairs, [star_pairs, trees]
     for every in (False, True):
-        parts = stash(connected_components(links))
-        found = _tree_pairs(trees, named, parts, every, num, den)
-        found = found.join(named.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col("fine").alias("pa")), "ka").join(named.select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("fine").alias("pb")), "kb")
+        parts = connected_components(links)
+        pairs = _tree_pairs(trees, named, parts, every, num, den)
+        found = pairs.join(named.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col("fine").alias("pa")), "ka").join(named.select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("fine").alias("pb")), "kb")
         fresh = stash(_possible(found, num, den).join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
-        links = stash(links.unionByName(_verified(fresh, texts, shingle, num, den)))
-        tried = tried.unionByName(fresh)
-    final = connected_components(links).select(F.col("node").alias("rep"), "component")
+        more = _verified(fresh, texts, shingle, num, den)
+        both = stash(links.unionByName(more))
+        discard(parts, pairs, links, more)
+        links, tried = both, tried.unionByName(fresh)
+        written.append(fresh)
+    discard(*written)
+    final = connected_components(links)
+    discard(links)
+    final = final.select(F.col("node").alias("rep"), "component")
     named_classes = classes.join(final, "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("component"))
     alone = (F.col("n") == 0) | F.col("id").isNull()
     linked = profiles.where(~alone).join(named_classes, ["low", "high"]).select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

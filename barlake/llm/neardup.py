@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, stash
+from .common import batched, discard, stash
 from .components import connected_components
 from .vectors import common_size, kmeans, matrix, nearest, unit, usable
 
@@ -161,7 +161,8 @@ def near_duplicates(
     members = indexed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m_parts"))
     visits = indexed.select("rep", "copies", "home", "v", F.explode("probes").alias("list"))
     visitors = visits.groupBy("list").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("v_parts"))
-    parts = F.broadcast(stash(members.join(visitors, "list")))  # at most LISTS rows
+    sizes = stash(members.join(visitors, "list"))
+    parts = F.broadcast(sizes)  # at most LISTS rows
     spread = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     whole = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     blocks = (
@@ -210,6 +211,7 @@ def near_duplicates(
         classes.join(counts, "rep", "left").join(components, "rep", "left")
         .select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
+    discard(indexed, sizes, found)
     takes_part = usable(F.col("v")) & F.col("id").isNotNull() & (F.size("v") == size)
     linked = rows.where(takes_part).join(done, "v").select("id", "n_links", "component_id")
     alone = rows.where(~takes_part).select("id", own["n_links"].alias("n_links"), own["component_id"].alias("component_id"))

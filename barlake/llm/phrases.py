@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from .bitmap import bitmap_array, bitmap_rows, in_array, maybe_in
-from .common import batched, extended, stash
+from .common import batched, discard, extended, stash
 from .shingles import hashed_words, run_starts, runs, slices
 
 WINDOW, ANCHOR = 13, 5
@@ -144,6 +144,8 @@ def remove_repeats(
     top = recurring.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "anchor").limit(FREQUENT_ANCHORS)
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["anchor"] for r in top.select("anchor").collect()], np.int64)))
 
+    discard(recurring)
+
     def is_in(sorted_values, values):
         if not len(sorted_values):
             return np.zeros(len(values), bool)
