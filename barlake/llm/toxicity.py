@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
 
 from .common import batched, bounded_labels, extended
 
@@ -33,6 +33,8 @@ MIN_SURPRISE = 11.0
 #: and the surprise from which a pair of frequent terms, or one with a rarer term, counts; there are many pairs, so chance needs higher bounds.
 PAIR_TERMS, PAIR_ROWS, FREQUENT = 2048, 1500, 0.01
 FREQUENT_SURPRISE, RARE_SURPRISE = 35.0, 40.0
+#: Pairs that are counted at a time.
+PAIR_CODES = 2_000_000
 #: Surprise from which a rarer term that label 1 has more often than chance is looked at in pairs.
 WEAK_SURPRISE = 2.0
 FACTORS = 8
@@ -47,7 +49,7 @@ def terms_of(text: str | None) -> np.ndarray:
 
     words = set(TERM.findall((text or "").lower()))
     words |= {"^" + w[:n] for n in STEMS for w in words if len(w) > n}
-    return np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words))
+    return np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words)).view(np.int32)
 
 
 @dataclass
@@ -83,7 +85,7 @@ def _placed(rows: list[np.ndarray], terms: np.ndarray) -> list[np.ndarray]:
     out = []
     for row in rows:
         at = np.minimum(np.searchsorted(terms, row), len(terms) - 1)
-        out.append(at[terms[at] == row])
+        out.append(at[terms[at] == row].astype(np.int32))
     return out
 
 
@@ -120,20 +122,29 @@ def paired_terms(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, count
         wide = np.sort(np.concatenate([rare, top]))
         is_rare = np.isin(wide, rare)
 
-        def pairs(chosen):
-            found = []
-            for at in _placed([rows[i] for i in chosen], terms[wide]):
-                own = at[is_rare[at]]
-                code = np.minimum(own[:, None], at) * len(wide) + np.maximum(own[:, None], at)
-                found.append(np.unique(code[own[:, None] != at]))
-            return np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
-
-        codes, one = pairs(picked[1])
-        codes, one = codes[one >= MIN_ROWS], one[one >= MIN_ROWS]
-        if len(codes):
-            elsewhere, times = pairs(picked[0])
-            at = np.minimum(np.searchsorted(elsewhere, codes), max(0, len(elsewhere) - 1))
-            zero = np.where(elsewhere[at] == codes, times[at], 0) if len(elsewhere) else np.zeros(len(codes))
+        placed = [_placed([rows[i] for i in chosen], terms[wide]) for chosen in picked]
+
+        def codes_of(at, low, high):
+            own = at[is_rare[at] & (at >= low) & (at < high)].astype(np.int64)
+            code = np.minimum(own[:, None], at) * len(wide) + np.maximum(own[:, None], at)
+            return np.unique(code[own[:, None] != at])
+
+        # as many rarer terms at a time as make about PAIR_CODES pairs
+        weight_of = np.zeros(len(wide))
+        for at in placed[1]:
+            weight_of[at[is_rare[at]]] += len(at)
+        part = np.cumsum(weight_of) // PAIR_CODES
+        for p in np.unique(part).tolist():
+            low, high = int(np.searchsorted(part, p, "left")), int(np.searchsorted(part, p, "right"))
+            codes, one = np.unique(np.concatenate([codes_of(at, low, high) for at in placed[1]]), return_counts=True)
+            codes, one = codes[one >= MIN_ROWS], one[one >= MIN_ROWS]
+            if not len(codes):
+                continue
+            zero = np.zeros(len(codes))
+            for at in placed[0]:
+                found = codes_of(at, low, high)
+                where = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+                zero[where[codes[where] == found]] += 1
             hit = codes[surprise_of(one + weight * zero, one, n, share) >= RARE_SURPRISE]
             out[wide[np.unique(np.concatenate([hit // len(wide), hit % len(wide)]))]] = True
     return out
@@ -195,14 +206,14 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, limit: int, i
     def run(batches):
         for b in batches:
             found = [terms_of(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__label").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__label").cast(pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "terms"])
 
-    schema = extended(joined.select("doc_id"), label=LongType(), terms=ArrayType(LongType()))
+    schema = extended(joined.select("doc_id"), label=LongType(), terms=ArrayType(IntegerType()))
     got = batched(joined.select("doc_id", "text", "__label")).mapInArrow(run, schema).toArrow()
-    order = np.lexsort((np.array([len(x) for x in got.column("terms")]), got.column("doc_id").to_numpy()))
-    lists = got.column("terms").to_pylist()
-    y = got.column("label").to_numpy()
-    return [np.array(lists[i], np.int64) for i in order], y[order]
+    terms = got.column("terms").combine_chunks()
+    ends, flat = np.asarray(terms.offsets), terms.values.to_numpy()
+    order = np.lexsort((np.diff(ends), got.column("doc_id").to_numpy()))
+    return [np.sort(flat[ends[i] : ends[i + 1]]) for i in order], got.column("label").to_numpy()[order]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", limit: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
@@ -214,7 +225,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", li
     gives every text the share of ones, a half for an empty table.
     """
     rows, y = labelled_terms(docs, labels, label, limit, id_col, text_col)
-    return fit([np.sort(r) for r in rows], y)
+    return fit(rows, y)
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
