@@ -172,17 +172,22 @@ def outliers_z(df: DataFrame, columns: Sequence[str], z: float = 3.0) -> DataFra
     return _outliers(df, columns, m.select("column", (F.col("m") - z * F.col("s")).alias("lower"), (F.col("m") + z * F.col("s")).alias("upper")))
 
 
+def _sum(c: Column) -> Column:
+    """A sum of amounts that doesn't depend on the order of rows, exact to nine digits."""
+    return F.sum(c.try_cast("decimal(38,9)")).cast("double")
+
+
 def volume_by_day(ticks: DataFrame, amount: str = "quote_quantity", day: str = "timestamp") -> DataFrame:
     """Per series: mean daily amount, days, and mean hourly amount."""
     t = F.col(day)
-    daily = ticks.groupBy("symbol", F.to_date(t).alias("d")).agg(F.sum(amount).alias("x")).groupBy("symbol").agg(F.avg("x").alias("mean_daily"), F.count("*").alias("days"))
-    hourly = ticks.groupBy("symbol", F.date_trunc("hour", t).alias("h")).agg(F.sum(amount).alias("x")).groupBy("symbol").agg(F.avg("x").alias("mean_hourly"))
+    daily = ticks.groupBy("symbol", F.to_date(t).alias("d")).agg(_sum(F.col(amount)).alias("x")).groupBy("symbol").agg(ratio(_sum(F.col("x")), F.count("x")).alias("mean_daily"), F.count("*").alias("days"))
+    hourly = ticks.groupBy("symbol", F.date_trunc("hour", t).alias("h")).agg(_sum(F.col(amount)).alias("x")).groupBy("symbol").agg(ratio(_sum(F.col("x")), F.count("x")).alias("mean_hourly"))
     return daily.join(hourly, "symbol")
 
 
 def suggested_sizes(volumes: DataFrame, targets: Sequence[int] = (150, 200, 300, 400, 500, 600)) -> DataFrame:
     """Bar sizes that give a number of bars a day, from the day-weighted mean over all series."""
-    total = volumes.agg(ratio(F.sum(F.col("mean_daily") * F.col("days")), F.sum("days")).alias("daily"), F.avg("mean_hourly").alias("hourly"))
+    total = volumes.agg(ratio(_sum(F.col("mean_daily") * F.col("days")), F.sum("days")).alias("daily"), ratio(_sum(F.col("mean_hourly")), F.count("mean_hourly")).alias("hourly"))
     each = total.withColumn("target_bars", F.explode(F.array(*[F.lit(t) for t in targets])))
     return each.select("target_bars", (F.col("daily") / F.col("target_bars")).alias("bar_size"), ratio("hourly", F.col("daily") / F.col("target_bars")).alias("bars_per_hour"), ratio(F.col("hourly") * 2, F.col("daily") / F.col("target_bars")).alias("bars_per_active_hour"))
 
