@@ -90,18 +90,30 @@ def divergences(bars: DataFrame, *, keys: Sequence[str] = ("symbol",), order: st
 def profile(low: np.ndarray, high: np.ndarray, volume: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of equal bins from the least low to the greatest high, and volume per bin; a bar's volume is spread evenly over its range.
 
-    Volumes are rounded to nine digits, so bins that tie do so whatever the order of the sums.
+    Bins that every bar covers hold the same volume up to the last bits, more of
+    them than rounding to nine digits removes.  Edges, shares and sums therefore
+    take the steps of the SQL one by one, the sums from the newest bar back, so
+    the same bin is the fullest in both.
     """
     a, b = low.min(), high.max()
     if b <= a:
         return np.array([a, b]), np.array([volume.sum()])
-    edges = np.linspace(a, b, bins + 1)
+    low, high, volume = low[::-1], high[::-1], volume[::-1]
+    edges = a + (b - a) * np.arange(bins + 1) / bins
     flat = high <= low
     shared = np.maximum(np.minimum(high[:, None], edges[1:]) - np.maximum(low[:, None], edges[:-1]), 0)
     weight = np.divide(shared, (high - low)[:, None], out=np.zeros_like(shared), where=~flat[:, None])
     own = np.minimum(((low - a) / (b - a) * bins).astype(int), bins - 1)
     weight[flat, own[flat]] = 1.0
-    return edges, np.round(volume @ weight, 9)
+    # a running sum adds bar by bar, which neither a product of matrices nor a plain sum promises
+    return edges, _half_up(np.cumsum(volume[:, None] * weight, axis=0)[-1], 9)
+
+
+def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Non-negative numbers rounded, halves upward as in SQL."""
+    scaled = x * 10.0**digits
+    whole = np.floor(scaled)
+    return (whole + (scaled - whole >= 0.5)) / 10.0**digits
 
 
 def value_area(edges: np.ndarray, volume: np.ndarray, outward: bool, share: float = 0.7) -> tuple[float, float, float]:
