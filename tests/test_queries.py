@@ -30,7 +30,7 @@ def test_entry_imports():
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 100
 
 
-@pytest.mark.parametrize("name", ["volume_profile_a_100w_100b_D41", "volume_profile_a_50w_100b_D41", "volume_profile_a_D41", "volume_profile_a_100w_50b_D41", "volume_profile_a_50w_50b_D41"])
+@pytest.mark.parametrize("name", ["volume_profile_a_100w_100b_D41", "volume_profile_a_50w_100b_D41", "volume_profile_a_D41", "volume_profile_a_100w_50b_D41", "volume_profile_a_50w_50b_D41", "volume_profile_b_D42"])
 def test_profile_bins_that_tie(spark, tmp_path, name):
     """Large volumes over wide bars: many bins hold the same, and the last bits of their sums decide which is the fullest."""
     import duckdb
