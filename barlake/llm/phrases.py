@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType, StringType
 
 from .bitmap import bitmap_array, bitmap_rows, in_array, maybe_in
 from .common import batched, discard, extended, stash
-from .shingles import hashed_words, run_starts, runs, slices
+from .shingles import hashed_words, run_starts, runs, slices, sliding_min
 
 WINDOW, ANCHOR = 13, 5
 #: Texts in which an anchor is frequent, and frequent anchors at most.
@@ -58,7 +58,7 @@ class Windows:
         self.hashes = runs(words, window)[at].view(np.int64)
         span = window - anchor + 1
         short = runs(words, anchor)
-        self.anchors = np.lib.stride_tricks.sliding_window_view(short, span).min(1)[at] if len(at) else np.zeros(0, np.uint64)
+        self.anchors = sliding_min(short, span)[at] if len(at) else np.zeros(0, np.uint64)
         self.owner = np.repeat(np.arange(len(texts)), np.diff(self.ends))
 
     def of(self, text: int) -> np.ndarray:

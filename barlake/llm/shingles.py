@@ -9,6 +9,11 @@ import pyarrow.compute as pc
 _MASK = (1 << 64) - 1
 #: Texts that are hashed at a time, and about how many bytes.
 SLICE_ROWS, SLICE_BYTES = 1000, 2_000_000
+#: Bytes from which a word is hashed by itself; a multiple of 8.
+LONG_WORD = 64
+#: Bytes that belong to words, and masks of the lowest bytes of 64 bits.
+_IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _odd(seed: int) -> int:
@@ -40,17 +45,45 @@ def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     Words are runs of anything but U+0020 and U+0009 to U+000D; null has none.
     ``lower`` turns A-Z into lower case and leaves other letters.
     """
+    texts = texts.fill_null("")
+    texts = pc.ascii_lower(texts) if lower else texts
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    word = np.zeros(len(data) + 1, bool)
+    word[:-1] = _IN_WORD[data]
+    # a word begins behind white space or at the start of a text, and ends likewise
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    first[offsets] = word[offsets]
+    starts = np.flatnonzero(first)
+    last = word[:-1] & ~word[1:]
+    inner = offsets[offsets > 0] - 1
+    last[inner] = word[inner]
+    return word_hashes(data, starts, np.flatnonzero(last) + 1), np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word of ``data`` (bytes), eight bytes at a time for all words at once; words beyond ``LONG_WORD`` bytes one by one."""
     import xxhash
 
-    texts = texts.fill_null("")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-    flat = lists.flatten()
-    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
-    offsets = np.asarray(lists.offsets).astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
-    coded = flat.filter(pa.array(real)).dictionary_encode()
-    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return digests[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.uint64), bounds
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    lengths = ends - starts
+    out = mixed(lengths.astype(np.uint64) * np.uint64(_odd(2000)))
+    out = mixed(out ^ (eights[starts] & _LOW_BYTES[np.minimum(lengths, 8)]))
+    more = np.flatnonzero(lengths > 8)
+    for k in range(8, LONG_WORD, 8):
+        if not len(more):
+            break
+        out[more] = mixed(out[more] ^ (eights[starts[more] + k] & _LOW_BYTES[np.minimum(lengths[more] - k, 8)]))
+        more = more[lengths[more] > k + 8]
+    for i in more.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
 
 
 def runs(words: np.ndarray, size: int) -> np.ndarray:
@@ -62,6 +95,16 @@ def runs(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
+def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
+    """Least of the ``size`` values from each position on, wherever so many follow."""
+    width = 1
+    while width < size:
+        step = min(width, size - width)
+        x = np.minimum(x[:-step], x[step:])
+        width += step
+    return x
+
+
 def run_starts(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions from which ``size`` words follow in the same text, and the bounds of each text among these positions."""
     lengths = np.diff(bounds)

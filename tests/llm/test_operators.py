@@ -495,6 +495,30 @@ def test_repeats(spark, corpus):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept).hexdigest()), r.doc_id
 
 
+def test_words_are_hashed_together(monkeypatch):
+    """The hash of a word depends on its bytes alone; only words of more than 64 bytes are hashed one by one."""
+    import pyarrow as pa
+    import xxhash
+
+    from barlake.llm.shingles import hashed_words, sliding_min
+
+    alone, plain = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda x: alone.append(len(x)) or plain(x))
+    rng = np.random.default_rng(3)
+    parts = [*" \t\n\x0b\x0c\r\x1c\x00\x85\u00a0aabAé", "x" * 8, "x" * 9, "y" * 63, "y" * 64, "z" * 65, "z" * 200]
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(300)]
+    for column, lower in ((pa.array(texts), False), (pa.array(texts), True), (pa.array(texts, pa.large_string()).slice(5, 90), False), (pa.array([None, ""]), False), (pa.array([], pa.string()), False)):
+        alone.clear()
+        hashes, bounds = hashed_words(column, lower)
+        split = [((t or "").encode().lower() if lower else (t or "").encode()).split() for t in column.to_pylist()]
+        flat = [w for words_here in split for w in words_here]
+        assert bounds.tolist() == [0, *np.cumsum([len(x) for x in split]).tolist()] and len(hashes) == len(flat)
+        assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+        assert sorted(alone) == sorted(len(w) for w in flat if len(w) > 64)
+    x = rng.permutation(40).astype(np.uint64)
+    assert all(np.array_equal(sliding_min(x, n), np.lib.stride_tricks.sliding_window_view(x, n).min(1)) for n in (1, 2, 3, 9, 40))
+
+
 def test_repeats_clash_and_repeat_of_id(spark):
     from barlake.llm.phrases import remove_repeats
 
